@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe_tree import op7_bpe_tree
 from .minhash import op5_minmax_hash
 from .packing import op10_packing_nnls
+from .secrets import op6_linked_secrets
 
 QUERIES = {
+    "op6_linked_secrets": op6_linked_secrets,
     "op5_minmax_hash": op5_minmax_hash,
     "op7_bpe_tree": op7_bpe_tree,
     "op10_packing_nnls": op10_packing_nnls,
