@@ -26,6 +26,9 @@ from .textblocks import _MULTIPLIERS, chunks, column, hash_spans, mix, small_bat
 
 BANDS, PERMUTATIONS_A_BAND = 48, 3
 WIDTH, PERCENT = 4, 80
+#: Signature values kept as four bits each, sixteen a word, for a bound on the last pairs. A pair of J >= 0.8 differs
+#: in 3/16 of the values at most on average (a deviation of 6.6 of 288); beyond five deviations it is not compared.
+LANES, MISMATCHES = 2 * BANDS * PERMUTATIONS_A_BAND, 87
 #: Documents compared with one pivot in one task; a larger star is salted.
 STAR = 256
 _rng = np.random.Generator(np.random.PCG64(515))
@@ -70,8 +73,15 @@ def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mix((both * _C[None, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)).T
 
 
+def packed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Four bits of every signature value: (sets, LANES / 16) words."""
+    nibbles = mix(np.concatenate([low, high])) >> np.uint64(60)
+    shifts = np.arange(16, dtype=np.uint64)[None, :, None] * np.uint64(4)
+    return np.bitwise_or.reduce(nibbles.reshape(LANES // 16, 16, -1) << shifts, axis=1).T
+
+
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """doc, text_hash, n (set size), cid (hash of the set; null for an empty set), bands."""
+    """doc, text_hash, n (set size), cid (hash of the set; null for an empty set), bands, lanes."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -82,16 +92,17 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
                 chosen = [sets[k] for k in full]
-                cid, keys = np.zeros(len(sets), np.int64), np.zeros((len(sets), BANDS), np.int64)
+                cid, keys, lanes = np.zeros(len(sets), np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, LANES // 16), np.int64)
                 if len(full):
                     starts = np.cumsum([0, *map(len, chosen[:-1])])
                     cid[full] = mix(np.add.reduceat(mix(np.concatenate(chosen)), starts) + size[full].astype(np.uint64)).view(np.int64)
-                    keys[full] = band_keys(*signature(chosen)).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(keys[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size), pa.array(cid, mask=size == 0), bands], ["doc", "text_hash", "n", "cid", "bands"])
+                    both = signature(chosen)
+                    keys, lanes = band_keys(*both).view(np.int64), np.ascontiguousarray(packed(*both)).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, x.shape[1], 0))]), pa.int32()), pa.array(x.reshape(-1))) for x in (keys, lanes)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size), pa.array(cid, mask=size == 0), *lists], ["doc", "text_hash", "n", "cid", "bands", "lanes"])
 
     picked = docs.select(docs[key].alias("doc"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("h"))
-    return picked.mapInArrow(run, f"doc {kind}, text_hash long, n long, cid long, bands array<long>")
+    return picked.mapInArrow(run, f"doc {kind}, text_hash long, n long, cid long, bands array<long>, lanes array<long>")
 
 
 def _verified(stars: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -128,6 +139,12 @@ def _verified(stars: DataFrame, texts: DataFrame, width: int, percent: int, name
     return stored(dealt.mapInArrow(run, "u long, v long"), name)
 
 
+def _differing(k: int) -> str:
+    """SQL of a word whose lowest bit in each four is set where the k-th words' values differ."""
+    x = f"(lanes[{k}] ^ other_lanes[{k}])"
+    return " | ".join([x, *(f"shiftrightunsigned({x}, {n})" for n in (1, 2, 3))])
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id, kept: the near-duplicate class of every document.
 
@@ -139,8 +156,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     where it is alone.
     """
     sketch = stored(sketches(docs, text, key, width), "minhash-sketch")
-    classes = sketch.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc", "text_hash")).alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"))
-    classes = stored(classes.select("cid", "rep.doc", "rep.text_hash", "n", "bands"), "minhash-classes")
+    classes = sketch.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc", "text_hash")).alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"), F.min("lanes").alias("lanes"))
+    classes = stored(classes.select("cid", "rep.doc", "rep.text_hash", "n", "bands", "lanes"), "minhash-classes")
     rows = classes.select("cid", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     member = stored(rows.join(shared, "band"), "minhash-members")  # buckets of several classes
@@ -173,9 +190,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     pairs = pairs.filter((F.col("root") != F.col("other_root")) & near).select("cid", "pivot").distinct()
     edges = edges.union(_verified(pairs, texts, width, percent, "minhash-second"))
     # The rest: every pair of a bucket that is still in two components.
-    left = stored(open_buckets(rooted()).select("band", "cid", "n", "root"), "minhash-rest")
-    right = left.select("band", F.col("cid").alias("pivot"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-    rest = left.join(right, "band").filter((F.col("root") < F.col("other_root")) & near).select("cid", "pivot").distinct()
+    left = open_buckets(rooted()).select("band", "cid", "n", "root").join(classes.select("cid", "lanes"), "cid")
+    left = stored(left.select("band", "cid", "n", "root", "lanes"), "minhash-rest")
+    right = left.select(F.col("band").alias("other_band"), *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "root", "lanes")])
+    apart = " + ".join(f"bit_count(({_differing(k)}) & {0x1111111111111111})" for k in range(LANES // 16))
+    pairs = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & near & F.expr(f"{apart} <= {MISMATCHES}"))
+    rest = pairs.select("cid", F.col("other_cid").alias("pivot")).distinct()
     edges = edges.union(_verified(rest, texts, width, percent, "minhash-last"))
 
     roots = components(edges, "minhash-final").withColumnRenamed("node", "cid")
