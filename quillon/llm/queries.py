@@ -5,9 +5,15 @@ from __future__ import annotations
 from .bpe_tree import op7_bpe_tree
 from .minhash import op5_minmax_hash
 from .packing import op10_packing_nnls
+from .quality_sampling import op4_importance_resampling
 from .secrets import op6_linked_secrets
+from .toxicity import op2_toxicity_nbsvm
+from .wordpiece import op8_longest_match
 
 QUERIES = {
+    "op2_toxicity_nbsvm": op2_toxicity_nbsvm,
+    "op4_importance_resampling": op4_importance_resampling,
+    "op8_longest_match": op8_longest_match,
     "op6_linked_secrets": op6_linked_secrets,
     "op5_minmax_hash": op5_minmax_hash,
     "op7_bpe_tree": op7_bpe_tree,
