@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bpe_tree import op7_bpe_tree
+from .embedding_dedup import op3_pca_tiles
 from .minhash import op5_minmax_hash
 from .packing import op10_packing_nnls
+from .perplexity_rules import op1_kneser_ney_bands
 from .quality_sampling import op4_importance_resampling
 from .secrets import op6_linked_secrets
 from .toxicity import op2_toxicity_nbsvm
 from .wordpiece import op8_longest_match
 
 QUERIES = {
+    "op1_kneser_ney_bands": op1_kneser_ney_bands,
+    "op3_pca_tiles": op3_pca_tiles,
     "op2_toxicity_nbsvm": op2_toxicity_nbsvm,
     "op4_importance_resampling": op4_importance_resampling,
     "op8_longest_match": op8_longest_match,
