@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_tree import op7_bpe_tree
 from .embedding_dedup import op3_pca_tiles
+from .lm_scoring import op9_trie_scores
 from .minhash import op5_minmax_hash
 from .packing import op10_packing_nnls
 from .perplexity_rules import op1_kneser_ney_bands
@@ -14,13 +15,14 @@ from .wordpiece import op8_longest_match
 
 QUERIES = {
     "op1_kneser_ney_bands": op1_kneser_ney_bands,
-    "op3_pca_tiles": op3_pca_tiles,
     "op2_toxicity_nbsvm": op2_toxicity_nbsvm,
+    "op3_pca_tiles": op3_pca_tiles,
     "op4_importance_resampling": op4_importance_resampling,
-    "op8_longest_match": op8_longest_match,
-    "op6_linked_secrets": op6_linked_secrets,
     "op5_minmax_hash": op5_minmax_hash,
+    "op6_linked_secrets": op6_linked_secrets,
     "op7_bpe_tree": op7_bpe_tree,
+    "op8_longest_match": op8_longest_match,
+    "op9_trie_scores": op9_trie_scores,
     "op10_packing_nnls": op10_packing_nnls,
 }
 
