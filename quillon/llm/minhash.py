@@ -7,9 +7,10 @@ probability J**6, and 48 bands miss a pair of J = 0.8 with probability below
 1e-6. Every link reported is confirmed on the full shingle sets.
 
 Only connectivity is asked for, so pairs are not enumerated: equal sets
-collapse to one class, members of a bucket are compared with its most
-connected member (two rounds of pivots), and only pairs of a bucket that are
-still in different components are compared afterwards, all of them.
+collapse to one class, members of a bucket are compared with a pivot (its most
+connected member, then in further rounds one drawn anew for every bucket), and
+only pairs of a bucket that are still in different components are compared
+afterwards, all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WIDTH, PERCENT = 4, 80
 #: Signature values kept as four bits each, sixteen a word, for a bound on the last pairs. A pair of J >= 0.8 differs
 #: in 3/16 of the values at most on average (a deviation of 6.6 of 288); beyond five deviations it is not compared.
 LANES, MISMATCHES = 2 * BANDS * PERMUTATIONS_A_BAND, 87
+#: Rounds of drawn pivots before the pairs that are left: each costs one comparison a member and bucket.
+ROUNDS = 5
 #: Documents compared with one pivot in one task; a larger star is salted.
 STAR = 256
 _rng = np.random.Generator(np.random.PCG64(515))
@@ -158,44 +161,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     sketch = stored(sketches(docs, text, key, width), "minhash-sketch")
     classes = sketch.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc", "text_hash")).alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"), F.min("lanes").alias("lanes"))
     classes = stored(classes.select("cid", "rep.doc", "rep.text_hash", "n", "bands", "lanes"), "minhash-classes")
-    rows = classes.select("cid", "n", F.explode("bands").alias("band"))
+    rows = classes.select("cid", "n", F.posexplode("bands").alias("pos", "band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     member = stored(rows.join(shared, "band"), "minhash-members")  # buckets of several classes
     weight = stored(member.groupBy("cid").agg(F.sum("size").alias("weight")), "minhash-weights")
     needed = classes.join(weight.select("cid"), "cid", "left_semi").select("cid", "doc", "text_hash")
     whole = docs.select(docs[key].alias("doc"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("text_hash"))
     texts = stored(whole.join(needed, ["doc", "text_hash"]).select("cid", "t"), "minhash-texts")
-    member = member.join(weight, "cid")
     near = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
+    apart = " + ".join(f"bit_count(({_differing(k)}) & {0x1111111111111111})" for k in range(LANES // 16))
+    alike = F.expr(f"{apart} <= {MISMATCHES}")
 
-    def stars(rows: DataFrame) -> DataFrame:
-        """Each member of a bucket with the bucket's heaviest member, where their sizes allow a link."""
-        top = rows.groupBy("band").agg(F.max(F.struct("weight", "cid", "n", "root")).alias("top"))
+    def stars(rows: DataFrame, order: str) -> DataFrame:
+        """Each member of a bucket with the bucket's pivot, where their components differ and their sizes allow a link."""
+        top = rows.groupBy("band").agg(F.max(F.struct(order, "cid", "n", "root")).alias("top"))
         pairs = rows.join(top, "band").select("cid", "n", "root", F.col("top.cid").alias("pivot"), F.col("top.n").alias("other_n"), F.col("top.root").alias("other_root"))
         return pairs.filter((F.col("root") != F.col("other_root")) & near).select("cid", "pivot").distinct()
 
-    edges = _verified(stars(member.withColumn("root", F.col("cid"))), texts, width, percent, "minhash-star")
-
-    def rooted() -> DataFrame:
-        return member.join(components(edges, "minhash").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
-    def open_buckets(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high"), "band", "left_semi")
-
-    # Second pivots: among those outside the first pivot's component, compared with the whole bucket.
-    rows2 = stored(open_buckets(rooted()), "minhash-open")
-    top = rows2.groupBy("band").agg(F.max(F.struct("weight", "cid", "n", "root")).alias("top")).select("band", F.col("top.root").alias("top_root"))
-    second = rows2.join(top, "band").filter("root <> top_root").groupBy("band").agg(F.max(F.struct("weight", "cid", "n", "root")).alias("top"))
-    pairs = rows2.join(second, "band").select("cid", "n", "root", F.col("top.cid").alias("pivot"), F.col("top.n").alias("other_n"), F.col("top.root").alias("other_root"))
-    pairs = pairs.filter((F.col("root") != F.col("other_root")) & near).select("cid", "pivot").distinct()
-    edges = edges.union(_verified(pairs, texts, width, percent, "minhash-second"))
-    # The rest: every pair of a bucket that is still in two components.
-    left = open_buckets(rooted()).select("band", "cid", "n", "root").join(classes.select("cid", "lanes"), "cid")
-    left = stored(left.select("band", "cid", "n", "root", "lanes"), "minhash-rest")
-    right = left.select(F.col("band").alias("other_band"), *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "root", "lanes")])
-    apart = " + ".join(f"bit_count(({_differing(k)}) & {0x1111111111111111})" for k in range(LANES // 16))
-    pairs = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & near & F.expr(f"{apart} <= {MISMATCHES}"))
-    rest = pairs.select("cid", F.col("other_cid").alias("pivot")).distinct()
+    edges = _verified(stars(member.join(weight, "cid").withColumn("root", F.col("cid")), "weight"), texts, width, percent, "minhash-star")
+
+    def open_rows(number: int) -> DataFrame:
+        """Rows of buckets with several components."""
+        now = member.join(components(edges, "minhash").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        several = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        return stored(now.join(several, "band", "left_semi").select("band", "pos", "cid", "n", "root"), f"minhash-open{number}")
+
+    lanes = classes.select("cid", "lanes")
+    for number in range(ROUNDS):
+        drawn = open_rows(number).withColumn("draw", F.xxhash64("cid", "band", F.lit(number)))
+        pairs = stars(drawn, "draw").join(lanes, "cid").join(lanes.select(F.col("cid").alias("pivot"), F.col("lanes").alias("other_lanes")), "pivot")
+        edges = edges.union(_verified(pairs.filter(alike).select("cid", "pivot"), texts, width, percent, f"minhash-drawn{number}"))
+    # The rest: every pair of a bucket that is still in two components, in the first band that the two share.
+    left = stored(open_rows(ROUNDS).join(classes.select("cid", "lanes", "bands"), "cid"), "minhash-rest")
+    right = left.select(F.col("band").alias("other_band"), *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "root", "lanes", "bands")])
+    first = F.forall(F.zip_with(F.slice("bands", F.lit(1), F.col("pos")), F.slice("other_bands", F.lit(1), F.col("pos")), lambda x, y: x != y), lambda z: z)
+    pairs = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & near & alike & first)
+    rest = pairs.select("cid", F.col("other_cid").alias("pivot"))
     edges = edges.union(_verified(rest, texts, width, percent, "minhash-last"))
 
     roots = components(edges, "minhash-final").withColumnRenamed("node", "cid")
