@@ -7,6 +7,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def _grams(words: Column, n: int) -> Column:
 
 def stem_all():
     """Porter stems of an array of words (Arrow batches; no built-in exists)."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def stem(words: pd.Series) -> pd.Series:
         memo: dict[str, str] = {}
