@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import latex
 from ..functions.tokens import Tokenizer
-from ..operators import compare, jobs, layout
+from ..operators import compare, documents, jobs, layout
 from ..operators.extraction import Extractor, infer_section_type
 from .catalog import query
 
@@ -52,3 +52,60 @@ def layout_match(spark, sf_dir):
     want = turns.select("doc", F.col("turn").alias("section_ord"), F.lit(1).alias("page"), F.lit(0).alias("col"), "name", F.col("text").alias("content"))
     have = turns.select("doc", F.lit(1).alias("page"), F.lit(0).alias("col"), F.inline(F.array(F.struct((F.col("turn") * 2).alias("line"), F.col("name").alias("text")), F.struct((F.col("turn") * 2 + 1).alias("line"), "text"))))
     return layout.diagnose(want, have)
+
+
+_TURNS = "(SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations WHERE turn IS NOT NULL AND role IS NOT NULL)"
+
+
+def _turns(spark, sf_dir):
+    """Turns as sections: place orders repeated turns of a conversation."""
+    from pyspark.sql import Window
+
+    rows = _read(spark, sf_dir, "conversations").filter("turn is not null and role is not null")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+
+
+@query("table_of_contents", f"SELECT conv_id AS resume_name, place AS section_ord, printf('%2d. %-45s | page %d | %-15s | %s', place, 'Turn ' || turn, turn + 1, role, role) AS line FROM {_TURNS}")
+def table_of_contents(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("resume_name"), F.col("place").cast("long").alias("section_ord"), F.concat(F.lit("Turn "), "turn").alias("section_name"), (F.col("turn") + 1).alias("page_number"), F.col("role").alias("region"), F.col("role").alias("section_type"))
+    return documents.table_of_contents(rows)
+
+
+@query("page_count", "SELECT c_custkey AS resume_name, coalesce(max(year(o_orderdate)), 0) AS pages FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def page_count(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("resume_name"), F.year("o_orderdate").alias("page_number"))
+    return documents.page_count(orders, _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_name")))
+
+
+@query("get_section", "SELECT conv_id, min(place) AS place FROM " + _TURNS + " WHERE lower(role) = 'assistant' GROUP BY conv_id")
+def get_section(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("resume_name"), F.col("place").cast("long").alias("section_ord"), F.col("role").alias("section_name"))
+    return documents.get_section(rows, "Assistant").select(F.col("resume_name").alias("conv_id"), F.col("section_ord").alias("place"))
+
+
+@query("changed_only", "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND text <> upper(text)")
+def changed_only(spark, sf_dir):
+    """Every seventh document in upper case against the texts as they are."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    new = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")))
+    return documents.changed_only(new, docs, "doc_id", "text").select("doc_id")
+
+
+@query("generate_list", "SELECT p_partkey, '\\section*{' || p_brand || '}' || chr(10) || '\\begin{itemize}' || chr(10) || '    \\item ' || p_type || chr(10) || '    \\item 5\\%' || chr(10) || '\\end{itemize}' AS latex FROM (SELECT p_partkey, replace(p_brand, '#', '\\#') AS p_brand, p_type FROM part)")
+def generate_list(spark, sf_dir):
+    made = documents.generate_section(F.lit("custom_itemize"), F.col("p_brand"), F.array("p_type", F.lit("5%")))
+    return _read(spark, sf_dir, "part").select("p_partkey", made.alias("latex"))
+
+
+@query("section_sequence_diff")
+def section_sequence_diff(spark, sf_dir):
+    """Roles of each conversation against the alternation user, assistant: opcodes of a sequence diff, one conversation a group."""
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        roles = rows.sort_values("place")["role"].tolist()
+        want = ["user", "assistant"] * ((len(roles) + 1) // 2)
+        codes = compare.opcodes(roles, want[: len(roles)])
+        return pd.DataFrame({"conv_id": [key[0]] * len(codes), "op": [c[0] for c in codes], "a0": [c[1] for c in codes], "a1": [c[2] for c in codes], "b0": [c[3] for c in codes], "b1": [c[4] for c in codes]})
+
+    return _turns(spark, sf_dir).select("conv_id", "place", "role").groupBy("conv_id").applyInPandas(run, "conv_id long, op string, a0 long, a1 long, b0 long, b1 long")
