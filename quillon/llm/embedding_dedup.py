@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textblocks import stored
+from .textblocks import batch_rows, stored
 
 THRESHOLD = 0.98
 #: Vectors a tile holds about; a task holds two tiles.
@@ -164,7 +164,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         linked = part if linked is None else linked.unionByName(part)
     if linked is None:
         linked = spark.createDataFrame([], "id long, links long, u long, v long")
-    linked = stored(linked, "vector-links")
+    with batch_rows(spark, 16):
+        linked = stored(linked, "vector-links")
     roots = components(linked.filter("u is not null").select("u", "v"), "vectors").withColumnRenamed("node", "id")
     counts = linked.filter("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     labelled = classes.select("id", "copies", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -189,8 +190,6 @@ def _compare(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     near = left.join(right, ["j0", "j1"]).filter((F.col("label") == F.col("label2")) & (F.col("tile") <= F.col("tile2")) & (gap <= span * span)).select("label", "tile", "tile2")
     body = tiles.select("label", "tile", "ids", "copies", "x")
     pairs = near.join(body, ["label", "tile"]).join(body.select("label", F.col("tile").alias("tile2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("x").alias("x2")), ["label", "tile2"])
-    spark = classes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

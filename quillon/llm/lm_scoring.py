@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .eliasfano import SUCCESSOR_BITS, TrieShard
-from .textblocks import chunks, column, crc_remainder, hash_spans, mix, small_batches, stored, word_spans
+from .textblocks import batch_rows, chunks, column, crc_remainder, hash_spans, mix, small_batches, stored, word_spans
 
 BLOCK_BYTES = 8 << 20
 #: Training tokens a shard holds about.
@@ -248,9 +248,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int(_unplaned(x, 4).sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    tokens = int(table.select("counts").mapInArrow(sizes, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0)
-    hot = _hot(table, tokens)
+    with batch_rows(spark, 64):
+        tokens = int(table.select("counts").mapInArrow(sizes, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0)
+        hot = _hot(table, tokens)
     hot_keys = np.array(sorted(hot), np.uint64)
     shards = max(12, -(-tokens // SHARD_TOKENS))
 
@@ -270,7 +270,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + 64]], kinds[i]) for i in range(9)], names)
 
     answers = _requests(table, shards, hot_keys).repartition(shards, "shard").mapInArrow(serve, "shard long, block long, words binary, codes binary, weights binary, n long, v long, hot long, mass double")
-    answers = stored(answers, "lm-answers")
+    with batch_rows(spark, 64):
+        answers = stored(answers, "lm-answers")
     total = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = int(total["n"] or 0), int(total["v"] or 0)
     masses = {int(np.int64(r["hot"]).astype(np.uint64)): r["mass"] for r in answers.filter("hot is not null").groupBy("hot").agg(F.sum("mass").alias("mass")).collect()}  # at most HOT rows

@@ -10,6 +10,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``: only ASCII white space separates.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -188,6 +189,18 @@ def small_batches(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+@contextlib.contextmanager
+def batch_rows(spark, rows: int):
+    """At most `rows` rows an Arrow batch for what is executed inside: for rows that are megabytes each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def crc_remainder(column_name: str, modulus: int):
     """crc32 of an integer id written as text, modulo `modulus` (null for a null id)."""
     from pyspark.sql import functions as F
