@@ -30,8 +30,8 @@ WIDTH, PERCENT = 4, 80
 #: Signature values kept as four bits each, sixteen a word, for a bound on the last pairs. A pair of J >= 0.8 differs
 #: in 3/16 of the values at most on average (a deviation of 6.6 of 288); beyond five deviations it is not compared.
 LANES, MISMATCHES = 2 * BANDS * PERMUTATIONS_A_BAND, 87
-#: Rounds of drawn pivots before the pairs that are left: each costs one comparison a member and bucket.
-ROUNDS = 5
+#: Rounds of drawn pivots at most before the pairs that are left, run while buckets hold more than CROWDED pairs a member.
+ROUNDS, CROWDED = 5, 8
 #: Documents compared with one pivot in one task; a larger star is salted.
 STAR = 256
 _rng = np.random.Generator(np.random.PCG64(515))
@@ -187,12 +187,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         return stored(now.join(several, "band", "left_semi").select("band", "pos", "cid", "n", "root"), f"minhash-open{number}")
 
     lanes = classes.select("cid", "lanes")
+    rows = open_rows(0)
     for number in range(ROUNDS):
-        drawn = open_rows(number).withColumn("draw", F.xxhash64("cid", "band", F.lit(number)))
-        pairs = stars(drawn, "draw").join(lanes, "cid").join(lanes.select(F.col("cid").alias("pivot"), F.col("lanes").alias("other_lanes")), "pivot")
+        sizes = rows.groupBy("band").agg(F.count("*").cast("double").alias("c")).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        if not sizes["n"] or sizes["pairs"] <= CROWDED * sizes["n"]:
+            break  # the pairs that are left cost no more than further rounds would
+        pairs = stars(rows.withColumn("draw", F.xxhash64("cid", "band", F.lit(number))), "draw").join(lanes, "cid").join(lanes.select(F.col("cid").alias("pivot"), F.col("lanes").alias("other_lanes")), "pivot")
         edges = edges.union(_verified(pairs.filter(alike).select("cid", "pivot"), texts, width, percent, f"minhash-drawn{number}"))
+        rows = open_rows(number + 1)
     # The rest: every pair of a bucket that is still in two components, in the first band that the two share.
-    left = stored(open_rows(ROUNDS).join(classes.select("cid", "lanes", "bands"), "cid"), "minhash-rest")
+    left = stored(rows.join(classes.select("cid", "lanes", "bands"), "cid"), "minhash-rest")
     right = left.select(F.col("band").alias("other_band"), *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "root", "lanes", "bands")])
     first = F.forall(F.zip_with(F.slice("bands", F.lit(1), F.col("pos")), F.slice("other_bands", F.lit(1), F.col("pos")), lambda x, y: x != y), lambda z: z)
     pairs = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & near & alike & first)
