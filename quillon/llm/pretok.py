@@ -99,7 +99,7 @@ class PieceTable:
     Holds at most `limit` pieces and starts anew beyond that, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 700_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

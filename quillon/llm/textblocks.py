@@ -19,7 +19,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once: bounds the temporaries of a worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes hashed with one prefix sum (a longer single span gets its own).
 HASH_BLOCK = 1 << 19
 
