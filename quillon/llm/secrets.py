@@ -19,9 +19,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "identifier", "candidate", "endpoint")
 ASSIGN_VALUE = 8
-#: Weak parts. A candidate is a whole run of token characters with an upper-case letter, a lower-case one and a digit.
-IDENTIFIER = r"""(?i:(?<![A-Za-z0-9_])(?:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name|_?id)?|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,255}[A-Z])(?=[A-Za-z0-9+/_-]{0,255}[a-z])(?=[A-Za-z0-9+/_-]{0,255}[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}"
+#: Weak parts. An identifier's name may end a longer one (DB_USER, dbUser). A candidate is a whole run of token characters
+#: that is MIXED: it holds an upper-case letter, a lower-case one and a digit, wherever in the run.
+IDENTIFIER = r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name|_?id)?|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}"
+MIXED = ("[A-Z]", "[a-z]", "[0-9]")
 ENDPOINT = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+"
 SCOPE_BREAK = r"\n[\x20\t\r]*\n"
 #: Code points between two parts of one credential at most.
@@ -53,6 +55,17 @@ def _spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
     return F.when(F.size(matches) > 0, made).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
 
 
+def _mixed(run: Column) -> Column:
+    upper, lower, digit = (run.rlike(p) for p in MIXED)
+    return upper & lower & digit
+
+
+def _candidates(text: Column, matches: Column) -> Column:
+    """Spans of the runs of CANDIDATE that are mixed."""
+    both = F.zip_with(_spans(text, matches, CANDIDATE, 4), matches, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+    return F.transform(F.filter(both, lambda x: _mixed(x["m"])), lambda x: x["s"])
+
+
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
     """`docs` with column base: the strong spans, by start and kind."""
     found = docs.withColumns({f"_m{k}": _matches(F.col(text), p) for k, p in enumerate((ASSIGN, ACCESS, HEX))} | {"_v": F.regexp_extract_all(F.col(text), F.lit(ASSIGN), F.lit(2))})
@@ -70,14 +83,16 @@ def linked_spans(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     company: access ids as identifiers, assignments as secrets.
     """
     t = F.col(text)
-    weak = docs.select(*key, text).filter((t.rlike(CANDIDATE) & (t.rlike(IDENTIFIER) | t.rlike(ENDPOINT) | t.rlike(ACCESS))) | (t.rlike(ASSIGN) & t.rlike(IDENTIFIER)))
+    candidate = t.rlike(CANDIDATE) & F.exists(_matches(t, CANDIDATE), _mixed)
+    weak = docs.select(*key, text).filter(((t.rlike(IDENTIFIER) | t.rlike(ENDPOINT) | t.rlike(ACCESS)) & candidate) | (t.rlike(ASSIGN) & t.rlike(IDENTIFIER)))
     scopes = weak.withColumn("_b", _matches(t, SCOPE_BREAK)).withColumn("_e", F.transform(_spans(t, F.col("_b"), SCOPE_BREAK, 0), lambda s: s["end"]))
     scopes = scopes.select(*key, "_e", F.posexplode(F.split(t, SCOPE_BREAK, -1)).alias("scope", "part"))
     scopes = scopes.withColumn("base_at", F.when(F.col("scope") > 0, F.element_at("_e", F.greatest(F.col("scope"), F.lit(1)))).otherwise(F.lit(0)).cast("long"))
     parts = base_spans(scopes.select(*key, "scope", "base_at", "part"), "part")
     part = F.col("part")
     parts = parts.withColumns({f"_w{k}": _matches(part, p) for k, p in ((3, IDENTIFIER), (4, CANDIDATE), (5, ENDPOINT))})
-    rows = parts.select(*key, "scope", "base_at", F.inline(F.concat("base", *[_spans(part, F.col(f"_w{k}"), p, k) for k, p in ((3, IDENTIFIER), (4, CANDIDATE), (5, ENDPOINT))])))
+    found = [_spans(part, F.col("_w3"), IDENTIFIER, 3), _candidates(part, F.col("_w4")), _spans(part, F.col("_w5"), ENDPOINT, 5)]
+    rows = parts.select(*key, "scope", "base_at", F.inline(F.concat("base", *found)))
     role = {"identifier": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 4), "endpoint": F.col("kind") == 5}
     ahead = Window.partitionBy(*key, "scope").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*key, "scope").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
