@@ -84,7 +84,9 @@ def linked_spans(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     """
     t = F.col(text)
     candidate = t.rlike(CANDIDATE) & F.exists(_matches(t, CANDIDATE), _mixed)
-    weak = docs.select(*key, text).filter(((t.rlike(IDENTIFIER) | t.rlike(ENDPOINT) | t.rlike(ACCESS)) & candidate) | (t.rlike(ASSIGN) & t.rlike(IDENTIFIER)))
+    assigned = t.rlike(ASSIGN) & (t.rlike(IDENTIFIER) | (t.rlike(ACCESS) & t.rlike(ENDPOINT)))
+    # No narrower than the rule below: whatever `confirmed` holds for passes.
+    weak = docs.select(*key, text).filter(((t.rlike(IDENTIFIER) | t.rlike(ENDPOINT) | t.rlike(ACCESS)) & candidate) | assigned)
     scopes = weak.withColumn("_b", _matches(t, SCOPE_BREAK)).withColumn("_e", F.transform(_spans(t, F.col("_b"), SCOPE_BREAK, 0), lambda s: s["end"]))
     scopes = scopes.select(*key, "_e", F.posexplode(F.split(t, SCOPE_BREAK, -1)).alias("scope", "part"))
     scopes = scopes.withColumn("base_at", F.when(F.col("scope") > 0, F.element_at("_e", F.greatest(F.col("scope"), F.lit(1)))).otherwise(F.lit(0)).cast("long"))
