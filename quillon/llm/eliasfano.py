@@ -4,7 +4,8 @@ A monotone sequence of n values below u keeps floor(log2(u / n)) low bits of
 each value plainly and the high bits in unary. `TrieShard` is two such levels:
 sorted context hashes with a monotone pointer to each one's range, and the
 successors of all contexts as one sequence made monotone by adding
-context index * 2**40. All arrays lie in one buffer that a file or an
+context index * 2**40. A deeper level is one more, without hashes: its contexts
+are the positions of the successors in the level above. All arrays lie in one buffer that a file or an
 anonymous memory map can hold.
 """
 
@@ -117,8 +118,8 @@ class TrieShard:
 
     @classmethod
     def build(cls, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> TrieShard:
-        """From sorted distinct contexts, the start of each one's range (n + 1) and its sorted successors."""
-        owner = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(starts))
+        """From sorted distinct contexts (none in a deeper level), the start of each one's range (n + 1) and its sorted successors."""
+        owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
         p, s = EliasFano.build(starts.astype(np.uint64)), EliasFano.build((owner << U(SUCCESSOR_BITS)) | successors)
         arrays = (contexts, p.low, p.high, s.low, s.high, codes)
         head = np.array([*map(len, arrays), p.n, p.low_bits, s.n, s.low_bits, 0, 0], np.int64)
@@ -142,13 +143,21 @@ class TrieShard:
 
     def find(self, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(context index or -1, code of the successor in that context or 0)."""
-        if not len(self.contexts):
+        if not len(self.contexts) or not len(self.codes):
             return np.full(len(contexts), -1), np.zeros(len(contexts), np.uint8)
         at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
         known = self.contexts[at] == contexts
-        want = (at.astype(np.uint64) << U(SUCCESSOR_BITS)) | successors
+        pos = self.child(np.where(known, at, -1), successors)
+        return np.where(known, at, -1), np.where(pos >= 0, self.codes[pos], 0).astype(np.uint8)
+
+    def child(self, at: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Position of each successor in the range of the context with index `at` (-1 where either is absent): its context index one level deeper."""
+        if not len(self.codes):
+            return np.full(len(at), -1)
+        own = np.maximum(at, 0)
+        want = (own.astype(np.uint64) << U(SUCCESSOR_BITS)) | successors
         pos = self.successors.successor(want)
         inside = np.minimum(pos, len(self.codes) - 1)
-        hit = known & (pos < len(self.codes)) & (inside < self.pointers.get(at + 1).astype(np.int64))
+        hit = (at >= 0) & (pos < len(self.codes)) & (inside < self.pointers.get(own + 1).astype(np.int64))
         hit &= self.successors.get(inside) == want
-        return np.where(known, at, -1), np.where(hit, self.codes[inside], 0).astype(np.uint8)
+        return np.where(hit, inside, -1)

@@ -1,12 +1,15 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 9).
 
-A bigram model with modified discounts, interpolated with add-one unigrams.
-Documents are gathered into blocks of bounded text. Each block asks each shard
-for its distinct words and bigrams, with its own training counts; a shard sums
-those, builds its part of the trie and answers the same requests from it by
-successor search among a context's continuations. Nothing is broadcast but
-the at most HOT contexts so frequent that their continuations are dealt to
-several shards.
+A model of any order from two (ORDER in the query) with modified discounts,
+each order interpolated with the next lower one and the bigrams with add-one
+unigrams. Documents are gathered into blocks of bounded text. Each block asks
+each shard for its distinct words and n-grams, with its own training counts; a
+shard sums those, builds its part of the trie and answers the same requests
+from it by successor search among a context's continuations. An n-gram lies in
+the shard of its first word, so every level of a path is in one trie, and the
+position of a node is the pointer to its range in the next level. Nothing is
+broadcast but the at most HOT words so frequent that their continuations are
+dealt to several shards.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from .eliasfano import SUCCESSOR_BITS, TrieShard
 from .textblocks import batch_rows, chunks, column, crc_remainder, hash_spans, mix, small_batches, stored, word_spans
 
+ORDER = 3
 BLOCK_BYTES = 8 << 20
 #: Training tokens a shard holds about.
 SHARD_TOKENS = 2_000_000
@@ -77,23 +81,42 @@ class Block:
         order = np.lexsort((self.words, shard))
         return order, shard[order]
 
-    def bigrams(self, shards: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct (context, successor) pairs by (shard, context, successor): context hash, 40-bit successor, training count, shard, and each token's pair."""
+    def grams(self, order: int, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Context hash and shard of each distinct bigram, and for each order from two (parent, 40-bit successor, training count, each token's n-gram or -1).
+
+        Bigrams are sorted by (shard, context, successor), longer n-grams by
+        (parent, successor), where the parent is the place of the n-gram
+        without its last word. A document's start is one word of context.
+        """
         first = np.cumsum(self.sizes) - self.sizes
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[first[self.sizes > 0]] = len(self.words)
+        weights = np.repeat(self.train, self.sizes)
         pairs, inverse = np.unique(before << 32 | self.tokens, return_inverse=True)
-        count = np.bincount(inverse, weights=np.repeat(self.train, self.sizes), minlength=len(pairs)).astype(np.int64)
+        count = np.bincount(inverse, weights=weights, minlength=len(pairs)).astype(np.int64)
         hashes = np.append(self.words, START)
         context, successor = hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]
         salted = np.isin(context, hot)
         shard = _shard(context + np.where(salted, (successor % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)), shards)
         short = successor >> np.uint64(64 - SUCCESSOR_BITS)
-        order = np.lexsort((short, context, shard))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return context[order], short[order], count[order], shard[order], place[inverse]
+        sort = np.lexsort((short, context, shard))
+        place = np.empty(len(sort), np.int64)
+        place[sort] = np.arange(len(sort))
+        levels = [(np.zeros(0, np.int64), short[sort], count[sort], place[inverse])]
+        depth = np.arange(len(self.tokens)) - np.repeat(first, self.sizes)
+        short = self.words >> np.uint64(64 - SUCCESSOR_BITS)
+        by_short = np.argsort(short, kind="stable")
+        rank = np.empty(len(short), np.int64)
+        rank[by_short] = np.arange(len(short))
+        for k in range(3, order + 1):
+            own = np.flatnonzero(depth >= k - 2)
+            longer, inverse = np.unique(levels[-1][3][own - 1] << 32 | rank[self.tokens[own]], return_inverse=True)
+            count = np.bincount(inverse, weights=weights[own], minlength=len(longer)).astype(np.int64)
+            at = np.full(len(self.tokens), -1)
+            at[own] = inverse
+            levels.append((longer >> 32, short[by_short[longer & 0xFFFFFFFF]], count, at))
+        return context[sort], shard[sort], levels
 
 
 def blocks(docs: DataFrame, text: str, key: str, train: str) -> DataFrame:
@@ -139,6 +162,13 @@ def _block(row: dict) -> Block:
     return Block(np.frombuffer(row["words"], np.uint64), _unplaned(row["counts"], 4).astype(np.int64), _unplaned(row["tokens"], 4).astype(np.int64), _unplaned(row["sizes"], 4).astype(np.int64), np.frombuffer(row["train"], np.uint8).astype(bool))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one; what Arrow holds of earlier ones is given back."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+        pa.default_memory_pool().release_unused()
+
+
 def _hot(table: DataFrame, tokens: int) -> dict[int, int]:
     """Contexts of more than 1 / HOT of the training tokens, with their exact counts: at most HOT rows reach the driver.
 
@@ -162,25 +192,39 @@ def _hot(table: DataFrame, tokens: int) -> dict[int, int]:
     return dict(zip(exact["w"].to_numpy().view(np.uint64).tolist(), exact["n"].to_numpy().tolist(), strict=True)) if exact is not None else {}
 
 
-def _requests(table: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+def _requests(table: DataFrame, shards: int, hot: np.ndarray, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = _block(row)
-                order, word_shard = b.ordered_words(shards)
-                context, successor, count, shard, _ = b.bigrams(shards, hot)
+                by_shard, word_shard = b.ordered_words(shards)
+                context, shard, levels = b.grams(order, shards, hot)
                 wa, ba = (np.searchsorted(x, np.arange(shards + 1)) for x in (word_shard, shard))
+                cuts = [ba]  # where each shard's n-grams begin, by order
+                for parent, *_ in levels[1:]:
+                    cuts.append(np.searchsorted(parent, cuts[-1]))
                 out = []
                 for s in np.flatnonzero((np.diff(wa) > 0) | (np.diff(ba) > 0)).tolist():
                     w, p = slice(wa[s], wa[s + 1]), slice(ba[s], ba[s + 1])
                     own = context[p]
                     change = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-                    out.append((s, row["block"], b.words[order[w]].tobytes(), _planes(b.counts[order[w]], 4), own[change].tobytes(), _planes(np.diff(np.append(change, len(own))), 4), _planes(successor[p], 5), _planes(count[p], 4)))
-                names = ["shard", "block", "words", "counts", "contexts", "spans", "successors", "pairs"]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(2, 8))], names)
-
-    kinds = ", ".join(f"{c} binary" for c in ("words", "counts", "contexts", "spans", "successors", "pairs"))
-    return table.mapInArrow(run, f"shard long, block long, {kinds}")
+                    spans, successors, counts = [_planes(np.diff(np.append(change, len(own))), 4)], [], []
+                    for k, (parent, successor, count, _) in enumerate(levels):
+                        g = slice(cuts[k][s], cuts[k][s + 1])
+                        if k:
+                            above = cuts[k - 1][s], cuts[k - 1][s + 1]
+                            spans.append(_planes(np.bincount(parent[g] - above[0], minlength=above[1] - above[0]), 4))
+                        successors.append(_planes(successor[g], 5))
+                        counts.append(_planes(count[g], 4))
+                    out.append((s, row["block"], b.words[by_shard[w]].tobytes(), _planes(b.counts[by_shard[w]], 4), own[change].tobytes(), spans, successors, counts))
+                names = ["shard", "block", "words", "counts", "contexts", "spans", "successors", "grams"]
+                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.binary())] * 3]
+                del b, context, shard, levels, parent, successor, count, own
+                for i in range(0, len(out), 8):
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out[i : i + 8]], kinds[k]) for k in range(8)], names)
+
+    kinds = "words binary, counts binary, contexts binary, spans array<binary>, successors array<binary>, grams array<binary>"
+    return table.drop("ids").mapInArrow(run, f"shard long, block long, {kinds}")
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,50 +241,69 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.75 for k in (1, 2, 3))])
 
 
+def _summed(parents: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (parent, successor) with a count, in order, and their counts over all blocks."""
+    order = np.flatnonzero(counts > 0)
+    order = order[np.lexsort((successors[order], parents[order]))]
+    c, s, n = parents[order], successors[order], counts[order]
+    at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))[: len(c)])
+    return c[at], s[at], np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
+
+
 def answer(rows: list[dict], hot: dict[int, int]) -> tuple[list[tuple], tuple[int, int], list[tuple[int, float]]]:
-    """One shard's answers (block, word counts, codes of pairs, codes of contexts), its (tokens, distinct words) and hot contexts' discounted mass."""
+    """One shard's answers (block, word counts, codes of n-grams and of their contexts by order), its (tokens, distinct words) and hot contexts' discounted mass."""
     words, totals = _sums(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), np.concatenate([_unplaned(r["counts"], 4) for r in rows]))
-    spans = [_unplaned(r["spans"], 4).astype(np.int64) for r in rows]
-    contexts = np.concatenate([np.repeat(np.frombuffer(r["contexts"], np.uint64), n) for r, n in zip(rows, spans, strict=True)])
-    successors = np.concatenate([_unplaned(r["successors"], 5) for r in rows])
-    pairs = np.concatenate([_unplaned(r["pairs"], 4) for r in rows]).astype(np.int64)
-    seen = pairs > 0
-    order = np.flatnonzero(seen)
-    order = order[np.lexsort((successors[order], contexts[order]))]
-    c, s, n = contexts[order], successors[order], pairs[order]
-    new = np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))[: len(c)]
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
-    c, s = c[at], s[at]
-    start = np.flatnonzero(np.append(True, c[1:] != c[:-1])[: len(c)])
-    distinct, bounds = c[start], np.append(start, len(c))
-    total = np.add.reduceat(count, start) if len(start) else np.zeros(0, np.int64)
-    is_hot = np.isin(distinct, np.array(list(hot), np.uint64))
-    total[is_hot] = [hot[x] for x in distinct[is_hot].tolist()]
-    cut = _discounts(count)[np.minimum(count, 3)]
-    per_context = np.repeat(total, np.diff(bounds))
-    mass = np.add.reduceat(cut, start) if len(start) else np.zeros(0)
-    weight = np.where(is_hot, 0, mass / np.maximum(total, 1))
-    trie = TrieShard.build(distinct, bounds, s, quantise((count - cut) / np.maximum(per_context, 1)))
-    weights, out, at = quantise(weight), [], 0
-    for r, n in zip(rows, spans, strict=True):
-        size = int(n.sum())
-        context, codes = trie.find(contexts[at : at + size], successors[at : at + size])
-        head = context[np.cumsum(n) - n]
-        mine = np.frombuffer(r["words"], np.uint64)
-        own = totals[np.searchsorted(words, mine)]
-        out.append((r["block"], _planes(own, 5), codes.tobytes(), np.where(head >= 0, weights[np.maximum(head, 0)] if len(weights) else 0, 0).astype(np.uint8).tobytes()))
-        at += size
-    return out, (int(totals.sum()), int((totals > 0).sum())), list(zip(distinct[is_hot].tolist(), mass[is_hot].tolist(), strict=True))
-
-
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train") -> DataFrame:
+    asked, given, masses = None, [], []
+    for k in range(len(rows[0]["grams"])):
+        spans = [_unplaned(r["spans"][k], 4).astype(np.int64) for r in rows]
+        sizes = [int(x.sum()) for x in spans]
+        successors = np.concatenate([_unplaned(r["successors"][k], 5) for r in rows])
+        counts = np.concatenate([_unplaned(r["grams"][k], 4) for r in rows]).astype(np.int64)
+        heads = np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]) if k == 0 else asked  # what has a range here
+        c, s, count = _summed(np.repeat(heads, np.concatenate(spans)), successors, counts)
+        if k == 0:
+            distinct, bounds = np.unique(c, return_index=True)
+            bounds = np.append(bounds, len(c))
+        else:
+            bounds = np.searchsorted(c, np.arange(len(trie.codes) + 1))
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        cut = _discounts(count)[np.minimum(count, 3)]
+        total, mass = (np.bincount(owner, weights=x, minlength=len(bounds) - 1) for x in (count, cut))
+        weight = mass / np.maximum(total, 1)
+        if k == 0:
+            is_hot = np.isin(distinct, np.array(list(hot), np.uint64))
+            total[is_hot] = [hot[x] for x in distinct[is_hot].tolist()]
+            weight = np.where(is_hot, 0, mass / np.maximum(total, 1))
+            masses = list(zip(distinct[is_hot].tolist(), mass[is_hot].tolist(), strict=True))
+        codes = quantise((count - cut) / np.maximum(total[owner], 1))
+        trie = TrieShard.build(distinct if k == 0 else np.zeros(0, np.uint64), bounds, s, codes)
+        if k == 0:
+            at = np.minimum(np.searchsorted(distinct, heads), max(0, len(distinct) - 1))
+            index = np.where(distinct[at] == heads, at, -1) if len(distinct) else np.full(len(heads), -1)
+        else:
+            index = asked
+        asked = trie.child(np.repeat(index, np.concatenate(spans)), successors)
+        weights = quantise(weight)
+        reply = np.where(asked >= 0, trie.codes[asked], 0).astype(np.uint8) if len(trie.codes) else np.zeros(len(asked), np.uint8)
+        back = np.where(index >= 0, weights[index], 0).astype(np.uint8) if len(weights) else np.zeros(len(index), np.uint8)
+        given.append((np.split(reply, np.cumsum(sizes)[:-1]), np.split(back, np.cumsum([len(x) for x in spans])[:-1])))
+    out = []
+    for i, r in enumerate(rows):
+        own = totals[np.searchsorted(words, np.frombuffer(r["words"], np.uint64))]
+        out.append((r["block"], _planes(own, 5), [c[i].tobytes() for c, _ in given], [w[i].tobytes() for _, w in given]))
+    return out, (int(totals.sum()), int((totals > 0).sum())), masses
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train", order: int = ORDER) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score for every document; `train` marks those learned from.
 
+    `order` is the length of the longest n-grams, two at least.
     Null and empty texts are the end token alone. Without training documents
     every score is that of an empty model. Repeated rows count as often as they
     come. An empty table gives an empty result; extra columns are dropped.
     """
+    if order < 2:
+        raise ValueError("order is two at least")
     spark = docs.sparkSession
     table = blocks(docs, text, key, train)
 
@@ -265,12 +328,12 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
             k, m = len(out), len(masses)
             rows = [(shard, b, w, c, g, None, None, None, None) for b, w, c, g in out] + [(shard, None, None, None, None, n, v, None, None)]
             rows += [(shard, None, None, None, None, None, None, int(np.uint64(h).astype(np.int64)), x) for h, x in masses]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             for a in range(0, k + 1 + m, 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + 64]], kinds[i]) for i in range(9)], names)
 
-    answers = _requests(table, shards, hot_keys).repartition(shards, "shard").mapInArrow(serve, "shard long, block long, words binary, codes binary, weights binary, n long, v long, hot long, mass double")
-    with batch_rows(spark, 64):
+    answers = _requests(table, shards, hot_keys, order).repartition(shards, "shard").mapInArrow(serve, "shard long, block long, words binary, codes array<binary>, weights array<binary>, n long, v long, hot long, mass double")
+    with batch_rows(spark, 8):
         answers = stored(answers, "lm-answers")
     total = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = int(total["n"] or 0), int(total["v"] or 0)
@@ -282,21 +345,24 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
         row = left.to_pylist()[0]
         b = _block(row)
         replies = sorted(right.select(["shard", "words", "codes", "weights"]).to_pylist(), key=lambda r: r["shard"])
-        order, _ = b.ordered_words(shards)
+        by_shard, _ = b.ordered_words(shards)
         counts = np.zeros(len(b.words), np.float64)
-        counts[order] = np.concatenate([_unplaned(r["words"], 5) for r in replies])
-        context, _, _, shard, place = b.bigrams(shards, hot_keys)
-        codes = np.concatenate([np.frombuffer(r["codes"], np.uint8) for r in replies])
+        counts[by_shard] = np.concatenate([_unplaned(r["words"], 5) for r in replies])
+        context, shard, levels = b.grams(order, shards, hot_keys)
         change = np.append(True, (context[1:] != context[:-1]) | (shard[1:] != shard[:-1]))[: len(context)]
         group = np.cumsum(change) - 1
-        weight_code = np.concatenate([np.frombuffer(r["weights"], np.uint8) for r in replies])[group]
-        weight = np.where(weight_code > 0, restored(weight_code), 1.0)
-        if len(hot_keys):
-            at = np.minimum(np.searchsorted(hot_keys, context), len(hot_keys) - 1)
-            weight = np.where(hot_keys[at] == context, hot_weight[at], weight)
         unigram = (counts + 1) / (n_all + v_all + 1)
         base = np.log10(unigram)[b.tokens]
-        value = np.log10(restored(codes)[place] + weight[place] * unigram[b.tokens])
+        p = unigram[b.tokens]
+        for k, (parent, _, _, place) in enumerate(levels):
+            codes, weight = (restored(np.concatenate([np.frombuffer(r[c][k], np.uint8) for r in replies])) for c in ("codes", "weights"))
+            weight = np.where(weight > 0, weight, 1.0)[parent if k else group]
+            if k == 0 and len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, context), len(hot_keys) - 1)
+                weight = np.where(hot_keys[at] == context, hot_weight[at], weight)
+            own = place >= 0
+            p[own] = codes[place[own]] + weight[place[own]] * p[own]
+        value = np.log10(p)
         doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
         per = lambda x: np.bincount(doc, weights=x, minlength=len(b.sizes))
         ids = left["ids"].combine_chunks().chunk(0) if isinstance(left["ids"], pa.ChunkedArray) and left["ids"].num_chunks > 1 else left["ids"].chunk(0)

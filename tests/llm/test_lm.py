@@ -73,3 +73,35 @@ def test_probabilities_against_brute_force(spark):
     none = lm.score(docs.withColumn("train", F.lit(False))).collect()
     assert all(abs(r.score) < 1e-9 and r.train_tokens == 0 for r in none)
     assert lm.score(docs.union(docs)).count() == 10
+
+
+def brute_scores(texts, train, order, cut=0.9):
+    """Interpolated scores with one discount (every count is three or more)."""
+    tokens = {d: [1, *t.split(), None] for d, t in texts.items()}  # 1 is the start
+    grams = Counter(tuple(x[i - k + 1 : i + 1]) for d, x in tokens.items() if d in train for k in range(1, order + 1) for i in range(max(1, k - 1), len(x)))
+    total, kinds = Counter(), Counter()
+    for g, n in grams.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[g] + 1) / (total[()] + kinds[()] + 1)
+        if not total[g[:-1]]:
+            return p(g[1:])
+        return (max(0.0, grams[g] - cut) + cut * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    return {d: [math.log10(p(tuple(x[max(0, i - order + 1) : i + 1]))) for i in range(1, len(x))] for d, x in tokens.items()}
+
+
+def test_longer_contexts_count(spark):
+    learned = ["x b c e f", "y b d e g", "x b c e f a", "z z z z"]
+    texts = {100 * i + k: t for i, t in enumerate(learned) for k in range(3)} | {1000: "x b c", 1001: "x b d", 1002: "y b d e f", 1003: "q b c e f", 1004: "z z z", 1005: "y b d e g"}
+    docs = spark.createDataFrame([(d, t, d < 1000) for d, t in texts.items()], "doc_id long, text string, train boolean")
+    for order in (None, 2, 4):
+        got = {r.doc_id: r.score for r in (lm.score(docs) if order is None else lm.score(docs, order=order)).collect()}
+        want = brute_scores(texts, {d for d in texts if d < 1000}, order or 3)
+        for d, each in want.items():
+            assert abs(got[d] - sum(each)) < 0.02 * len(each), (order, d, got[d], sum(each))
+        if order != 2:
+            assert got[1000] > got[1001] + 0.5  # a bigram model cannot tell which of c and d follows "x b"
