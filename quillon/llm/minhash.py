@@ -159,15 +159,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     where it is alone.
     """
     sketch = stored(sketches(docs, text, key, width), "minhash-sketch")
-    classes = sketch.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc", "text_hash")).alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"), F.min("lanes").alias("lanes"))
+    keyed = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash"))  # a row with a key, if there is one
+    classes = sketch.filter("cid is not null").groupBy("cid").agg(keyed.alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"), F.min("lanes").alias("lanes"))
     classes = stored(classes.select("cid", "rep.doc", "rep.text_hash", "n", "bands", "lanes"), "minhash-classes")
     rows = classes.select("cid", "n", F.posexplode("bands").alias("pos", "band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     member = stored(rows.join(shared, "band"), "minhash-members")  # buckets of several classes
     weight = stored(member.groupBy("cid").agg(F.sum("size").alias("weight")), "minhash-weights")
     needed = classes.join(weight.select("cid"), "cid", "left_semi").select("cid", "doc", "text_hash")
-    whole = docs.select(docs[key].alias("doc"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("text_hash"))
-    texts = stored(whole.join(needed, ["doc", "text_hash"]).select("cid", "t"), "minhash-texts")
+    whole = docs.select(docs[key].alias("own_doc"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("own_hash"))
+    # Rows without a key are told apart by their texts alone.
+    whole = whole.filter("own_doc is not null").unionByName(whole.filter("own_doc is null").dropDuplicates(["own_hash"]))
+    same = (F.col("own_hash") == F.col("text_hash")) & F.col("own_doc").eqNullSafe(F.col("doc"))
+    texts = stored(whole.join(needed, same).select("cid", "t"), "minhash-texts")
     near = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
     apart = " + ".join(f"bit_count(({_differing(k)}) & {0x1111111111111111})" for k in range(LANES // 16))
     alike = F.expr(f"{apart} <= {MISMATCHES}")

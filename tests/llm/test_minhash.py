@@ -70,6 +70,14 @@ def test_chains_copies_and_edges(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_keys_link(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (5, a), (6, a), (7, a + " more"), (None, b), (None, b), (9, b + " more"), (None, c), (None, None)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in out))
+    assert got == [(0, 0, 0, True), (0, 57, 0, True), (0, 57, 5, False), (0, 57, 9, False), (0, 57, 9, False), (5, 57, 5, True), (6, 57, 5, False), (7, 58, 5, False), (9, 58, 9, True)]
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(2)
     errors = []
