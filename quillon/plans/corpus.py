@@ -280,19 +280,27 @@ def section_classes(spark, sf_dir):
 
 @query("boilerplate_contains", "SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY b.item_id")
 def boilerplate_contains(spark, sf_dir):
-    """Documents that hold each benchmark item's opening (60 characters), met by the opening's first word and confirmed on the text."""
+    """Documents that hold each benchmark item's opening (60 characters), met by a word inside the opening and confirmed on the text."""
     marks = _read(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("mark"))
     hits = _holding(_read(spark, sf_dir, "documents").select("doc_id", "text"), marks)
     return stats.counts_with_zero(marks, "item_id", hits, "item_id").withColumnRenamed("n", "n_docs")
 
 
 def _holding(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """item_id, doc_id where the text holds the mark, by its first word as the join key."""
+    """item_id, doc_id where the text holds the mark, by the longest word inside the mark as the join key.
+
+    Inside: with a character of the mark on either side that is of no word, so that it is a whole word of every
+    text that holds the mark, wherever the mark begins. Marks without such a word are sought in every text.
+    """
     word = r"[\p{L}\p{N}]+"
-    keyed = marks.withColumn("w", F.regexp_extract("mark", rf"{word}", 0))
+    inner = F.regexp_extract_all("mark", F.lit(rf"(?<=[^\p{{L}}\p{{N}}]){word}(?=[^\p{{L}}\p{{N}}])"), F.lit(0))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = marks.withColumn("w", longest)
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("w"))
     small = keyed.select("w").distinct()
-    return words.join(F.broadcast(small), "w", "left_semi").join(keyed, "w").filter(F.contains("text", F.col("mark"))).select("item_id", "doc_id").distinct()
+    met = words.join(F.broadcast(small), "w", "left_semi").join(keyed, "w").select("item_id", "doc_id", "text", "mark")
+    others = docs.select("doc_id", "text").crossJoin(F.broadcast(keyed.filter("w is null").drop("w"))).select("item_id", "doc_id", "text", "mark")
+    return met.unionByName(others).filter(F.contains("text", F.col("mark"))).select("item_id", "doc_id").distinct()
 
 
 @query("html_field_extract", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages")

@@ -41,3 +41,17 @@ def test_query(spark, duck, name):
         assert got == sorted(repr([norm(r[i]) for i in at]) for r in q.fetchall())
     else:
         assert got
+
+
+def test_boilerplate_contains_marks_that_begin_inside_a_word(spark, tmp_path):
+    import duckdb
+
+    items = [(1, "apple pie with cream"), (2, "word"), (3, ", - "), (4, "é λόγος, end"), (5, "two words"), (6, "x" * 55 + " yy zz and more"), (7, None)]
+    texts = ["pineapple pie with creams", "apple pie with", "swords", "a, - b", "né λόγος, ending", "λόγος", "two  words", "x" * 57 + " yy zz", None, ""]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.item_id, r.n_docs) for r in catalog.QUERIES["boilerplate_contains"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        for t in ("benchmark", "documents"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert got == sorted(db.execute(catalog.ORACLES["boilerplate_contains"]).fetchall())
