@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textblocks import batch_rows, stored
+from .textblocks import batch_rows, scratch_dir, stored
 
 THRESHOLD = 0.98
 #: Vectors a tile holds about; a task holds two tiles.
@@ -33,6 +33,8 @@ TILE = 512
 BOX = 6
 #: Width of the cells, over the first two coordinates, that tiles are cut from.
 CELL = 0.25
+#: Lengths of at most so many distinct vectors are compared in one pass over all such lengths, the others in one each.
+FEW = 64
 #: Dimensions accumulated before each bound.
 STEPS = (4, 12, 28)
 
@@ -158,14 +160,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     hashed = given.withColumn("cid", F.when(F.col("good"), F.xxhash64("label", "x")))
     classes = hashed.filter("good").groupBy("cid").agg(F.min("label").alias("label"), F.count("*").alias("copies"), F.min("id").alias("least"), F.min("x").alias("x"))
     classes = stored(classes.select("label", F.col("cid").alias("id"), "copies", "least", "x"), "vector-classes")
-    linked = None
-    for row in classes.select(F.size("x").alias("d")).distinct().limit(64).collect():
-        part = _compare(classes.filter(F.size("x") == row["d"]), row["d"], threshold)
-        linked = part if linked is None else linked.unionByName(part)
-    if linked is None:
-        linked = spark.createDataFrame([], "id long, links long, u long, v long")
+    lengths = classes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).filter("n > 1")
+    few = lengths.filter(F.col("n") <= FEW).select("d")
+    parts = [_compare_few(classes.withColumn("d", F.size("x")).join(few, "d", "left_semi"), threshold)]
+    parts += [_compare(classes.filter(F.size("x") == row["d"]), row["d"], threshold) for row in lengths.filter(F.col("n") > FEW).orderBy("d").collect()]
     with batch_rows(spark, 16):
-        linked = stored(linked, "vector-links")
+        path = scratch_dir(spark, "vector-links")
+        for part in parts:  # one after the other, so that plans stay small
+            part.write.mode("append").parquet(path)
+        linked = spark.read.schema(parts[0].schema).parquet(path)
     roots = components(linked.filter("u is not null").select("u", "v"), "vectors").withColumnRenamed("node", "id")
     counts = linked.filter("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     labelled = classes.select("id", "copies", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -175,6 +178,43 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def _links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, turned: np.ndarray, ids2: np.ndarray, copies2: np.ndarray, x2: np.ndarray, turned2: np.ndarray, same: bool, threshold: float) -> pa.RecordBatch | None:
+    """Links between two sets of vectors (`turned`: of unit length, by any orthonormal axes): link counts and forest edges."""
+    i, j = reaching(turned, turned2, threshold)
+    if same:
+        i, j = i[i < j], j[i < j]
+    cosine = np.einsum("nd,nd->n", x[i], x2[j]) / (np.sqrt(np.einsum("nd,nd->n", x[i], x[i])) * np.sqrt(np.einsum("nd,nd->n", x2[j], x2[j])))
+    i, j = i[cosine >= threshold], j[cosine >= threshold]
+    if not len(i):
+        return None
+    links, links2 = np.bincount(i, copies2[j], len(ids)).astype(np.int64), np.bincount(j, copies[i], len(ids2)).astype(np.int64)
+    edges = forest(ids[i], ids2[j])
+    nodes = np.concatenate([ids[links > 0], ids2[links2 > 0]])
+    n, m = len(nodes), len(edges)
+    none, some = np.ones, np.zeros
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.append(nodes, np.zeros(m, np.int64)), mask=np.append(some(n, bool), none(m, bool))),
+            pa.array(np.concatenate([links[links > 0], links2[links2 > 0], np.zeros(m, np.int64)]), mask=np.append(some(n, bool), none(m, bool))),
+            *(pa.array(np.append(np.zeros(n, np.int64), np.array([e[c] for e in edges], np.int64)), mask=np.append(none(n, bool), some(m, bool))) for c in (0, 1)),
+        ],
+        ["id", "links", "u", "v"],
+    )
+
+
+def _compare_few(classes: DataFrame, threshold: float) -> DataFrame:
+    """`_compare` for lengths of few vectors each (column d), all lengths in one pass: every pair of a label and length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, copies, x = table["id"].to_numpy(), table["copies"].to_numpy(), np.array(table["x"].to_pylist(), np.float64)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        found = _links(ids, copies, x, unit, ids, copies, x, unit, True, threshold)
+        kinds = pa.schema([(c, pa.int64()) for c in ("id", "links", "u", "v")])
+        return kinds.empty_table() if found is None else pa.Table.from_batches([found])
+
+    return classes.select("label", "d", "id", "copies", "x").groupBy("label", "d").applyInArrow(run, "id long, links long, u long, v long")
+
+
 def _compare(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     """Rows (id, links, null, null) with partial link counts and (null, null, u, v) with forest edges."""
     axes = principal_axes(classes, dims)
@@ -198,26 +238,9 @@ def _compare(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
                 ids, copies, ids2, copies2 = (np.frombuffer(data[c], np.int64) for c in (0, 1, 3, 4))
                 x, x2 = (np.frombuffer(data[c]).reshape(-1, dims) for c in (2, 5))
                 unit, unit2 = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, x2))
-                i, j = reaching(unit @ axes, unit2 @ axes, threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                cosine = np.einsum("nd,nd->n", x[i], x2[j]) / (np.sqrt(np.einsum("nd,nd->n", x[i], x[i])) * np.sqrt(np.einsum("nd,nd->n", x2[j], x2[j])))
-                i, j = i[cosine >= threshold], j[cosine >= threshold]
-                if not len(i):
-                    continue
-                links, links2 = np.bincount(i, copies2[j], len(ids)).astype(np.int64), np.bincount(j, copies[i], len(ids2)).astype(np.int64)
-                edges = forest(ids[i], ids2[j])
-                nodes = np.concatenate([ids[links > 0], ids2[links2 > 0]])
-                n, m = len(nodes), len(edges)
-                none, some = np.ones, np.zeros
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.append(nodes, np.zeros(m, np.int64)), mask=np.append(some(n, bool), none(m, bool))),
-                        pa.array(np.concatenate([links[links > 0], links2[links2 > 0], np.zeros(m, np.int64)]), mask=np.append(some(n, bool), none(m, bool))),
-                        *(pa.array(np.append(np.zeros(n, np.int64), np.array([e[c] for e in edges], np.int64)), mask=np.append(none(n, bool), some(m, bool))) for c in (0, 1)),
-                    ],
-                    ["id", "links", "u", "v"],
-                )
+                found = _links(ids, copies, x, unit @ axes, ids2, copies2, x2, unit2 @ axes, same, threshold)
+                if found is not None:
+                    yield found
 
     chosen = pairs.select((F.col("tile") == F.col("tile2")).alias("same"), "ids", "copies", "x", "ids2", "copies2", "x2")
     return chosen.mapInArrow(run, "id long, links long, u long, v long")

@@ -56,6 +56,16 @@ def test_clusters_and_edges(spark):
     assert ed.near_vectors(df.limit(0)).count() == 0
 
 
+def test_more_lengths_than_64(spark):
+    r = np.random.default_rng(10)
+    rows = []
+    for d in range(1, 101):
+        x = r.normal(size=d)
+        rows += [(len(rows), d % 3, x.tolist()), (len(rows) + 1, d % 3, (x * 1.5 + 1e-4).tolist()), (len(rows) + 2, d % 3, r.normal(size=d).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert got(ed.near_vectors(df)) == brute(rows)
+
+
 def test_bounds_lose_nothing():
     r = np.random.default_rng(9)
     a = r.normal(size=(60, 40))
