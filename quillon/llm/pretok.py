@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textblocks import hash_spans
+from .textblocks import equal_spans, hash_spans
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
@@ -96,22 +96,24 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceTable:
     """Ids of each distinct piece, computed once by `encode(list of bytes) -> list of id lists`.
 
-    Holds at most `limit` pieces and starts anew beyond that, so its memory is bounded.
+    Pieces are told apart by their bytes: within a chunk, hashes only propose
+    equal ones. Holds at most `limit` pieces and `byte_limit` of their bytes and
+    starts anew beyond that, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 300_000, byte_limit: int = 16 << 20):
+        self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
-    def _add(self, hashes: list[int], pieces: list[bytes]) -> None:
-        for h, ids in zip(hashes, self.encode(pieces), strict=True):
+    def _add(self, pieces: list[bytes]) -> None:
+        for piece, ids in zip(pieces, self.encode(pieces), strict=True):
             k = len(self.index)
             if k >= len(self.start):
                 self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
@@ -120,7 +122,8 @@ class PieceTable:
             self.flat[self.used : self.used + len(ids)] = ids
             self.start[k], self.size[k] = self.used, len(ids)
             self.used += len(ids)
-            self.index[h] = k
+            self.held += len(piece)
+            self.index[piece] = k
 
     def tokens(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, first id of each row (n + 1))."""
@@ -128,17 +131,28 @@ class PieceTable:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(buf))
-        unique, at, inverse = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) + len(unique) > self.limit and len(self.index) > self.limit // 4:
+        at, inverse = distinct_spans(buf, starts, ends)
+        data = buf.tobytes()
+        pieces = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if (len(self.index) + len(pieces) > self.limit and len(self.index) > self.limit // 4) or self.held > self.byte_limit:
             self._clear()
-        keys = unique.tolist()
-        missing = [k for k, h in enumerate(keys) if h not in self.index]
+        known = self.index.get
+        missing = list(dict.fromkeys(p for p in pieces if known(p) is None))
         if missing:
-            data = buf.tobytes()
-            self._add([keys[k] for k in missing], [data[starts[at[k]] : ends[at[k]]] for k in missing])
-        slot = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[inverse]
+            self._add(missing)
+        slot = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))[inverse]
         size = self.size[slot]
         ends_at = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[slot] - (ends_at - size), size) + np.arange(ends_at[-1])]
         first_piece = np.searchsorted(starts, offsets)
         return ids, np.concatenate([[0], ends_at])[first_piece]
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one span of each distinct byte string, which of those each span is); bytes are compared, not hashes alone."""
+    _, at, inverse = np.unique(hash_spans(buf, starts, ends, lower), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~equal_spans(buf, starts, ends, at[inverse], lower))
+    if len(odd):  # spans that share their hash with another string stand for themselves
+        inverse[odd] = len(at) + np.arange(len(odd))
+        at = np.append(at, odd)
+    return at, inverse

@@ -1,9 +1,10 @@
 """Vectorised text primitives over Arrow string columns.
 
 A column arrives as one UTF-8 buffer with offsets. Words, lines and shingles
-are spans of that buffer; a span's 64-bit hash comes from a prefix sum of
-``value[byte] * P**i`` (mod 2**64), rebased by the inverse power of its start,
-so a whole batch is hashed without a Python loop over words.
+are spans of that buffer. A span's 64-bit hash absorbs eight bytes a step
+through a multiply and shift round; one step is taken for all spans of a batch
+at once, so hashing needs no Python loop over words. Spans of more than
+LONG bytes are hashed one by one.
 
 Words are ``[^\\x20\\x09-\\x0D]+``: only ASCII white space separates.
 """
@@ -16,33 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text handled at once: bounds the temporaries of a worker.
 CHUNK_BYTES = 1 << 20
-#: Bytes hashed with one prefix sum (a longer single span gets its own).
-HASH_BLOCK = 1 << 19
+#: Spans of more bytes are hashed one by one.
+LONG = 64
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
-LOWER_VALUES = VALUES[LOWER_BYTE]
-_P = int(_rng.integers(1, 2**63)) | 1
-_P_INV = pow(_P, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, HASH_BLOCK + 1)
-        for k, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, U64(base))
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+_SEED, _STEP = 0x3C79AC492BA7B653, U64(0x1C69B3F74AC4AE35)
+#: Keeps the low k of eight bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,23 +45,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _lanes(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes at each place, of which `left` count (the others are 0)."""
+    windows_ = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    return windows_[at].view("<u8").ravel() & _KEEP[np.minimum(left, 8)]
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of non-overlapping ascending byte spans (an empty span hashes to mix(0))."""
-    out = np.zeros(len(starts), np.uint64)
-    values, k = LOWER_VALUES if lower else VALUES, 0
-    while k < len(starts):
-        base = int(starts[k])
-        stop = max(k + 1, int(np.searchsorted(ends, base + HASH_BLOCK, "right")))
-        s, e = starts[k:stop] - base, ends[k:stop] - base
-        n = int(e[-1])
-        power, inverse = _power_tables(n + 1)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[buf[base : base + n]] * power[:n], out=prefix[1:])
-        out[k:stop] = (prefix[e] - prefix[s]) * inverse[s]
-        k = stop
+    """64-bit hashes of byte spans. Spans of up to eight bytes and equal length never share one."""
+    padded = np.concatenate([LOWER_BYTE[buf] if lower else buf, np.zeros(8, np.uint8)])
+    size = (ends - starts).astype(np.int64)
+    out = size.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(_SEED)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        data = memoryview(padded)
+        out[long] = [xxhash.xxh3_64_intdigest(data[a:b], seed=_SEED) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    open_ = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[open_], size[open_]
+    while len(open_):
+        h = (out[open_] ^ _lanes(padded, at, left)) * _STEP
+        out[open_] = h ^ h >> U64(32)
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
     return mix(out)
 
 
+def equal_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Whether each span has the bytes of the span whose index `other` gives."""
+    padded = np.concatenate([LOWER_BYTE[buf] if lower else buf, np.zeros(8, np.uint8)])
+    size = ends - starts
+    same = size == size[other]
+    long = np.flatnonzero(same & (size > LONG) & (other != np.arange(len(size))))
+    if len(long):
+        data = memoryview(padded)
+        for k, o in zip(long.tolist(), other[long].tolist(), strict=True):
+            same[k] = data[starts[k] : ends[k]] == data[starts[o] : ends[o]]
+    open_ = np.flatnonzero(same & (size <= LONG) & (other != np.arange(len(size))))
+    at, rep, left = starts[open_], starts[other[open_]], size[open_]
+    while len(open_):
+        differ = _lanes(padded, at, left) != _lanes(padded, rep, left)
+        same[open_[differ]] = False
+        more = ~differ & (left > 8)
+        open_, at, rep, left = open_[more], at[more] + 8, rep[more] + 8, left[more] - 8
+    return same
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column without nulls (null text counts as empty)."""
     c = batch.column(batch.schema.get_field_index(name))
@@ -162,7 +179,7 @@ def sum_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def scratch_dir(spark, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), it is set to a temporary folder."""
+    """A new path below spark.checkpoint.dir; where that is unset on a local master (tests), it is set to a temporary folder."""
     import tempfile
     import uuid
 
@@ -171,6 +188,8 @@ def scratch_dir(spark, name: str) -> str:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -180,7 +199,39 @@ def stored(df, name: str):
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames) -> None:
+    """Delete what `stored` wrote for these frames, which nothing that is still to run may read."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Words of 64 bits in a bitmap of hashes: at most so many rows are broadcast, whatever the table.
+BITMAP_WORDS = 1 << 20
+
+
+def hash_bitmap(hashes, name: str):
+    """(word, bits) of a bitmap over a column of 64-bit hashes: a bounded table, written to the shared folder."""
+    from pyspark.sql import functions as F
+
+    h = F.col(hashes.columns[0])
+    rows = hashes.select((F.shiftrightunsigned(h, 6) % BITMAP_WORDS).alias("word"), F.expr(f"shiftleft(1L, CAST({hashes.columns[0]} & 63 AS INT))").alias("bit"))
+    return stored(rows.groupBy("word").agg(F.bit_or("bit").alias("bits")), name)
+
+
+def in_bitmap(df, column_name: str, bitmap):
+    """`df` with boolean _may: false only if the hash in the column is not in the bitmap."""
+    from pyspark.sql import functions as F
+
+    h = F.col(column_name)
+    own = df.withColumn("_word", F.shiftrightunsigned(h, 6) % BITMAP_WORDS).join(F.broadcast(bitmap.withColumnsRenamed({"word": "_word", "bits": "_bits"})), "_word", "left")
+    hit = F.expr(f"(shiftrightunsigned(_bits, CAST(`{column_name}` & 63 AS INT)) & 1) = 1")
+    return own.withColumn("_may", F.coalesce(hit, F.lit(False))).drop("_word", "_bits")
 
 
 def small_batches(spark) -> None:

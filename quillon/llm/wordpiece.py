@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_tree import vocabulary_path
-from .textblocks import LOWER_BYTE, chunks, hash_spans, small_batches, sum_by_row, word_spans
+from .pretok import distinct_spans
+from .textblocks import LOWER_BYTE, chunks, small_batches, sum_by_row, word_spans
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 FINAL = 256
-_CACHE_LIMIT = 400_000
+#: Words that the cache holds at most, and bytes of the longest of them.
+_CACHE_LIMIT, _CACHED_BYTES = 400_000, 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -88,10 +90,10 @@ class Automaton:
         return total if node == 0 else 1
 
 
-_loaded: dict[str, tuple[Automaton, dict[int, int]]] = {}
+_loaded: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
 
 
-def _automaton(path: str) -> tuple[Automaton, dict[int, int]]:
+def _automaton(path: str) -> tuple[Automaton, dict[bytes, int]]:
     if path not in _loaded:
         table = printable_bytes()
         with open(path, encoding="utf-8") as f:
@@ -108,15 +110,18 @@ def counts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = word_spans(buf, offsets)
         if not len(starts):
             continue
-        unique, at, inverse = np.unique(hash_spans(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
+        at, inverse = distinct_spans(buf, starts, ends, lower=True)
         if len(cache) > _CACHE_LIMIT:
             cache.clear()
         data = LOWER_BYTE[buf].tobytes()
         size = []
-        for h, k in zip(unique.tolist(), at.tolist(), strict=True):
-            n = cache.get(h)
+        for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+            word = data[a:b]
+            n = cache.get(word)
             if n is None:
-                n = cache[h] = automaton.count(data[starts[k] : ends[k]])
+                n = automaton.count(word)
+                if len(word) <= _CACHED_BYTES:
+                    cache[word] = n
             size.append(n)
         words[i:j], pieces[i:j] = np.diff(first), sum_by_row(np.array(size, np.int64)[inverse], first)
     return words, pieces
