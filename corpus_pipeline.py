@@ -32,11 +32,9 @@ def resample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (five-word shingles, similarity 0.8), and one of repeated rows.
 
-    Documents without an id cannot be named by a class and stay.
+    Documents without an id take part: one stays where its class has no document with an id.
     """
-    kept = minhash.near_duplicates(docs.filter("doc_id is not null"), width=5).filter("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return minhash.deduplicated(docs, width=5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import stored
+from .textblocks import discard, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -14,16 +14,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Every round takes the least label among neighbours (a partially aggregated
     minimum, so a hub needs no task of its own) and then the label of that
     label, which halves paths. Labels are written to the shared folder each
-    round. An empty edge table gives an empty result; self loops and repeated
-    edges change nothing.
+    round and those of the round before are deleted. An empty edge table gives
+    an empty result; self loops and repeated edges change nothing.
     """
     both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), f"{name}-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        least = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")).withColumn("old", F.col("node")), f"{name}-labels")
+    while not labels.filter("old <> root").isEmpty():
+        near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        least = labels.select("node", "root").join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
-        moved = stored(least.join(jump, "to", "left").select("node", F.col("root").alias("old"), F.least("to", F.coalesce("beyond", "to")).alias("root")), f"{name}-labels")
-        labels = moved.select("node", "root")
-        if moved.filter("old <> root").isEmpty():
-            return labels
+        moved = stored(least.join(jump, "to", "left").select("node", F.least("to", F.coalesce("beyond", "to")).alias("root"), F.col("root").alias("old")), f"{name}-labels")
+        discard(labels)
+        labels = moved
+    discard(both)
+    return labels.select("node", "root")

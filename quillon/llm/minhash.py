@@ -4,13 +4,17 @@ Each permutation of the shingle hashes yields two signature values, the
 minimum and the maximum, so 144 evaluations a shingle give 288 values. A band
 joins both values of three permutations: documents of Jaccard J share one with
 probability J**6, and 48 bands miss a pair of J = 0.8 with probability below
-1e-6. Every link reported is confirmed on the full shingle sets.
-
-Only connectivity is asked for, so pairs are not enumerated: equal sets
-collapse to one class, members of a bucket are compared with a pivot (its most
-connected member, then in further rounds one drawn anew for every bucket), and
-only pairs of a bucket that are still in different components are compared
-afterwards, all of them.
+1e-6. Nothing else filters pairs: every two texts that share a band are
+compared on their full shingle sets, or are known to be connected.
+
+Only connectivity is asked for, so pairs are not enumerated. Equal sets
+collapse to one class. The most connected member of a band's bucket is its
+pivot, and all buckets of one pivot form a cell, which holds each of its
+classes once however many bands they share. A cell is dealt to tiles of
+bounded size with the pivot's text in each; a tile compares its members with
+the pivot and then only those that the pivot does not link with the others.
+Where a cell has several tiles, its members outside the component that most of
+it belongs to are then compared with the cell's other tiles.
 """
 
 from __future__ import annotations
@@ -23,17 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textblocks import _MULTIPLIERS, chunks, column, hash_spans, mix, small_batches, stored, windows, word_spans
+from .textblocks import _MULTIPLIERS, chunks, column, discard, hash_bitmap, hash_spans, in_bitmap, mix, small_batches, stored, windows, word_spans
 
 BANDS, PERMUTATIONS_A_BAND = 48, 3
 WIDTH, PERCENT = 4, 80
-#: Signature values kept as four bits each, sixteen a word, for a bound on the last pairs. A pair of J >= 0.8 differs
-#: in 3/16 of the values at most on average (a deviation of 6.6 of 288); beyond five deviations it is not compared.
-LANES, MISMATCHES = 2 * BANDS * PERMUTATIONS_A_BAND, 87
-#: Rounds of drawn pivots at most before the pairs that are left, run while buckets hold more than CROWDED pairs a member.
-ROUNDS, CROWDED = 5, 8
-#: Documents compared with one pivot in one task; a larger star is salted.
-STAR = 256
+#: Shingles in a tile about (one text may have more).
+TILE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(515))
 _A = _rng.integers(1, 2**63, BANDS * PERMUTATIONS_A_BAND, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(1, 2**63, BANDS * PERMUTATIONS_A_BAND, dtype=np.uint64)
@@ -76,15 +75,8 @@ def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mix((both * _C[None, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)).T
 
 
-def packed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Four bits of every signature value: (sets, LANES / 16) words."""
-    nibbles = mix(np.concatenate([low, high])) >> np.uint64(60)
-    shifts = np.arange(16, dtype=np.uint64)[None, :, None] * np.uint64(4)
-    return np.bitwise_or.reduce(nibbles.reshape(LANES // 16, 16, -1) << shifts, axis=1).T
-
-
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """doc, text_hash, n (set size), cid (hash of the set; null for an empty set), bands, lanes."""
+    """doc, text_hash, n (set size), cid (hash of the set; null for an empty set), bands."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -95,60 +87,176 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
                 chosen = [sets[k] for k in full]
-                cid, keys, lanes = np.zeros(len(sets), np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, LANES // 16), np.int64)
+                cid, keys = np.zeros(len(sets), np.int64), np.zeros((0, BANDS), np.int64)
                 if len(full):
                     starts = np.cumsum([0, *map(len, chosen[:-1])])
                     cid[full] = mix(np.add.reduceat(mix(np.concatenate(chosen)), starts) + size[full].astype(np.uint64)).view(np.int64)
-                    both = signature(chosen)
-                    keys, lanes = band_keys(*both).view(np.int64), np.ascontiguousarray(packed(*both)).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, x.shape[1], 0))]), pa.int32()), pa.array(x.reshape(-1))) for x in (keys, lanes)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size), pa.array(cid, mask=size == 0), *lists], ["doc", "text_hash", "n", "cid", "bands", "lanes"])
+                    keys = band_keys(*signature(chosen)).view(np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size), pa.array(cid, mask=size == 0), bands], ["doc", "text_hash", "n", "cid", "bands"])
 
     picked = docs.select(docs[key].alias("doc"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("h"))
-    return picked.mapInArrow(run, f"doc {kind}, text_hash long, n long, cid long, bands array<long>, lanes array<long>")
+    return picked.mapInArrow(run, f"doc {kind}, text_hash long, n long, cid long, bands array<long>")
+
+
+def _similar(common: np.ndarray, n: np.ndarray, m: int, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (n + m - common)
+
+
+class Sets:
+    """Shingle sets laid end to end, to be compared with one set at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.cumsum(self.size) - self.size
+        self.known, self.index = np.unique(np.concatenate(sets), return_inverse=True)
+        self._mark = np.zeros(len(self.known), np.int64)
+
+    def similar(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """Whether each set is as similar to `own` (distinct hashes, in order)."""
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        at = at[self.known[at] == own]
+        self._mark[at] = 1
+        common = np.add.reduceat(self._mark[self.index], self.starts)
+        self._mark[at] = 0
+        return _similar(common, self.size, len(own), percent)
+
+
+def tile_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that connect all linked sets of a tile whose first set is the pivot."""
+    if len(sets) < 2:
+        return []
+    if len(sets) == 2:
+        common = np.array([len(np.intersect1d(*sets, assume_unique=True))])
+        return [(0, 1)] if _similar(common, np.array([len(sets[0])]), len(sets[1]), percent)[0] else []
+    every = Sets(sets)
+    root = np.arange(len(sets))
+    near = every.similar(sets[0], percent)
+    root[near] = 0
+    edges = [(0, k) for k in np.flatnonzero(near).tolist() if k]
+    for k in np.flatnonzero(~near).tolist():
+        if not (root != root[k]).any():
+            continue
+        linked = np.flatnonzero(every.similar(sets[k], percent) & (root != root[k]))
+        roots, first = np.unique(root[linked], return_index=True)
+        for r, i in zip(roots.tolist(), linked[first].tolist(), strict=True):
+            edges.append((k, i))
+            root[root == r] = root[k]
+    return edges
+
+
+def _edges(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], width: int) -> Iterator[tuple[tuple, list[int], list[int], list[np.ndarray]]]:
+    """(key, roles, cids, sets) of each run of equal keys; rows come sorted by key and role."""
+    held, roles, cids, sets = None, [], [], []
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        role, cid = batch.column("role").to_pylist(), batch.column("cid").to_pylist()
+        for i, _, buf, offsets in chunks(column(batch, "t")):
+            for k, own in enumerate(shingles(buf, offsets, width), i):
+                if names[k] != held:
+                    if sets:
+                        yield held, roles, cids, sets
+                    held, roles, cids, sets = names[k], [], [], []
+                roles.append(role[k])
+                cids.append(cid[k])
+                sets.append(own)
+    if sets:
+        yield held, roles, cids, sets
+
+
+def _within_tiles(rows: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) among the texts of each tile: rows cid, pivot, salt, role (0: the pivot itself), t."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, cids, sets in _groups(batches, ["pivot", "salt"], width):
+            found = tile_links(sets, percent)
+            if found:
+                yield _edges([cids[a] for a, _ in found], [cids[b] for _, b in found])
 
-def _verified(stars: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Edges (u, v) of `stars` (cid, pivot) whose full sets are similar enough.
+    small_batches(rows.sparkSession)
+    dealt = rows.select("cid", "pivot", "salt", "role", "t").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    return dealt.mapInArrow(run, "u long, v long")
 
-    Each star is dealt to salted groups of about STAR members with the pivot's
-    text first in each, so a task streams and holds one set besides the pivot's.
-    """
-    groups = stars.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("salts"))
-    salted = stars.join(groups, "pivot").select("cid", "pivot", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
-    heads = groups.select(F.col("pivot").alias("cid"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    spark = stars.sparkSession
-    small_batches(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+def _across_tiles(rows: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
+    """Edges between the members of role 0 and of role 1 in each (pivot, part, salt); the first are held, the second stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, base = None, np.zeros(0, np.uint64)
+        held, left, ids, every = None, [], [], None
         for batch in batches:
-            pivots, cids, roles = (batch.column(k).to_pylist() for k in (1, 0, 3))
+            names = list(zip(*(batch.column(k).to_pylist() for k in ("pivot", "part", "salt")), strict=True))
+            role, cid = batch.column("role").to_pylist(), batch.column("cid").to_pylist()
             u, v = [], []
-            for i, j, buf, offsets in chunks(column(batch, "t")):
+            for i, _, buf, offsets in chunks(column(batch, "t")):
                 for k, own in enumerate(shingles(buf, offsets, width), i):
-                    if roles[k] == 0:
-                        pivot, base = pivots[k], own
-                    elif pivots[k] == pivot:
-                        common = len(np.intersect1d(own, base, assume_unique=True))
-                        if 100 * common >= percent * (len(own) + len(base) - common):
-                            u.append(cids[k])
-                            v.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    rows = texts.join(salted.unionByName(heads), "cid").select("cid", "pivot", "salt", "role", "t")
-    dealt = rows.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    return stored(dealt.mapInArrow(run, "u long, v long"), name)
-
-
-def _differing(k: int) -> str:
-    """SQL of a word whose lowest bit in each four is set where the k-th words' values differ."""
-    x = f"(lanes[{k}] ^ other_lanes[{k}])"
-    return " | ".join([x, *(f"shiftrightunsigned({x}, {n})" for n in (1, 2, 3))])
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+                    if names[k] != held:
+                        held, left, ids, every = names[k], [], [], None
+                    if role[k] == 0:
+                        left.append(own)
+                        ids.append(cid[k])
+                    elif left:
+                        every = every or Sets(left)
+                        for m in np.flatnonzero(every.similar(own, percent)).tolist():
+                            u.append(ids[m])
+                            v.append(cid[k])
+            yield _edges(u, v)
+
+    small_batches(rows.sparkSession)
+    dealt = rows.select("cid", "pivot", "part", "salt", "role", "t").repartition(parts, "pivot", "part", "salt").sortWithinPartitions("pivot", "part", "salt", "role")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def linked_classes(docs: DataFrame, text: str, key: str, width: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(sketch rows: doc, text_hash, n, cid, bands; links: cid, root of every class linked with another)."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sketch = stored(sketches(docs, text, key, width), "minhash-sketch")
+    classes = stored(sketch.filter("cid is not null").groupBy("cid").agg(F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
+    rows = classes.select("cid", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    member = stored(rows.join(shared, "band"), "minhash-members")  # buckets of several classes
+    weight = member.groupBy("cid").agg(F.sum("size").alias("weight"))
+    pivot = member.join(weight, "cid").groupBy("band").agg(F.max(F.struct("weight", "cid")).alias("top")).select("band", F.col("top.cid").alias("pivot"))
+    cell = stored(member.join(pivot, "band").select("cid", "pivot").distinct(), "minhash-cells")
+    discard(member)
+    known = stored(classes.join(cell.select("cid").distinct(), "cid", "left_semi").select("cid", "text_hash", "n"), "minhash-known")
+    discard(classes)
+
+    # One text of each class in a cell: a bounded bitmap keeps most other texts out of the shuffle, the join is exact.
+    bitmap = hash_bitmap(known.select("text_hash"), "minhash-bitmap")
+    whole = in_bitmap(docs.select(docs[text].alias("t"), F.xxhash64(docs[text]).alias("text_hash")), "text_hash", bitmap).filter("_may")
+    texts = stored(whole.groupBy("text_hash").agg(F.first("t").alias("t")).join(known, "text_hash").select("cid", "t"), "minhash-texts")
+    discard(bitmap)
+
+    sized = cell.join(known.select("cid", "n"), "cid")
+    tiles = sized.groupBy("pivot").agg(F.ceil(F.sum("n") / tile).cast("long").alias("tiles"))
+    dealt = stored(sized.join(tiles, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("tiles"))), "minhash-dealt")
+    heads = tiles.select(F.col("pivot").alias("cid"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("salt"), F.lit(0).alias("role"))
+    rest = dealt.filter("cid <> pivot").select("cid", "pivot", "salt", F.lit(1).alias("role"))
+    edges = stored(_within_tiles(texts.join(rest.unionByName(heads), "cid"), parts, width, percent), "minhash-edges")
+    roots = components(edges, "minhash").withColumnRenamed("node", "cid")
+
+    several = dealt.filter("tiles > 1")
+    if not several.isEmpty():
+        several = stored(several.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "minhash-several")
+        most = several.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "root")).alias("top")).select("pivot", F.col("top.root").alias("most"))
+        apart = several.join(most, "pivot").filter("root <> most")
+        deals = apart.groupBy("pivot").agg(F.ceil(F.sum("n") / tile).cast("long").alias("deals"))
+        salts, shares = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("tiles", "deals"))
+        left = apart.join(deals, "pivot").select("cid", "pivot", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("deals")).alias("part"), salts.alias("salt"), F.lit(0).alias("role"))
+        right = several.join(deals, "pivot").select("cid", "pivot", shares.alias("part"), "salt", F.lit(1).alias("role"))
+        more = _across_tiles(texts.join(left.unionByName(right), "cid"), parts, width, percent)
+        edges = stored(edges.union(more.filter("u <> v")), "minhash-all-edges")
+        roots = components(edges, "minhash-all").withColumnRenamed("node", "cid")
+    discard(texts, cell, known, dealt)
+    return sketch, roots
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """key, n_shingles, component_id, kept: the near-duplicate class of every document.
 
     Null texts and texts without words have an empty set and link with nothing.
@@ -158,62 +266,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     columns are dropped. A null key gets the component of its class, or null
     where it is alone.
     """
-    sketch = stored(sketches(docs, text, key, width), "minhash-sketch")
-    keyed = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash"))  # a row with a key, if there is one
-    classes = sketch.filter("cid is not null").groupBy("cid").agg(keyed.alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"), F.min("lanes").alias("lanes"))
-    classes = stored(classes.select("cid", "rep.doc", "rep.text_hash", "n", "bands", "lanes"), "minhash-classes")
-    rows = classes.select("cid", "n", F.posexplode("bands").alias("pos", "band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    member = stored(rows.join(shared, "band"), "minhash-members")  # buckets of several classes
-    weight = stored(member.groupBy("cid").agg(F.sum("size").alias("weight")), "minhash-weights")
-    needed = classes.join(weight.select("cid"), "cid", "left_semi").select("cid", "doc", "text_hash")
-    whole = docs.select(docs[key].alias("own_doc"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("own_hash"))
-    # Rows without a key are told apart by their texts alone.
-    whole = whole.filter("own_doc is not null").unionByName(whole.filter("own_doc is null").dropDuplicates(["own_hash"]))
-    same = (F.col("own_hash") == F.col("text_hash")) & F.col("own_doc").eqNullSafe(F.col("doc"))
-    texts = stored(whole.join(needed, same).select("cid", "t"), "minhash-texts")
-    near = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
-    apart = " + ".join(f"bit_count(({_differing(k)}) & {0x1111111111111111})" for k in range(LANES // 16))
-    alike = F.expr(f"{apart} <= {MISMATCHES}")
-
-    def stars(rows: DataFrame, order: str) -> DataFrame:
-        """Each member of a bucket with the bucket's pivot, where their components differ and their sizes allow a link."""
-        top = rows.groupBy("band").agg(F.max(F.struct(order, "cid", "n", "root")).alias("top"))
-        pairs = rows.join(top, "band").select("cid", "n", "root", F.col("top.cid").alias("pivot"), F.col("top.n").alias("other_n"), F.col("top.root").alias("other_root"))
-        return pairs.filter((F.col("root") != F.col("other_root")) & near).select("cid", "pivot").distinct()
-
-    edges = _verified(stars(member.join(weight, "cid").withColumn("root", F.col("cid")), "weight"), texts, width, percent, "minhash-star")
-
-    def open_rows(number: int) -> DataFrame:
-        """Rows of buckets with several components."""
-        now = member.join(components(edges, "minhash").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        several = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        return stored(now.join(several, "band", "left_semi").select("band", "pos", "cid", "n", "root"), f"minhash-open{number}")
-
-    lanes = classes.select("cid", "lanes")
-    rows = open_rows(0)
-    for number in range(ROUNDS):
-        sizes = rows.groupBy("band").agg(F.count("*").cast("double").alias("c")).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
-        if not sizes["n"] or sizes["pairs"] <= CROWDED * sizes["n"]:
-            break  # the pairs that are left cost no more than further rounds would
-        pairs = stars(rows.withColumn("draw", F.xxhash64("cid", "band", F.lit(number))), "draw").join(lanes, "cid").join(lanes.select(F.col("cid").alias("pivot"), F.col("lanes").alias("other_lanes")), "pivot")
-        edges = edges.union(_verified(pairs.filter(alike).select("cid", "pivot"), texts, width, percent, f"minhash-drawn{number}"))
-        rows = open_rows(number + 1)
-    # The rest: every pair of a bucket that is still in two components, in the first band that the two share.
-    left = stored(rows.join(classes.select("cid", "lanes", "bands"), "cid"), "minhash-rest")
-    right = left.select(F.col("band").alias("other_band"), *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "root", "lanes", "bands")])
-    first = F.forall(F.zip_with(F.slice("bands", F.lit(1), F.col("pos")), F.slice("other_bands", F.lit(1), F.col("pos")), lambda x, y: x != y), lambda z: z)
-    pairs = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & near & alike & first)
-    rest = pairs.select("cid", F.col("other_cid").alias("pivot"))
-    edges = edges.union(_verified(rest, texts, width, percent, "minhash-last"))
-
-    roots = components(edges, "minhash-final").withColumnRenamed("node", "cid")
-    labelled = classes.select("cid", "doc").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = labelled.groupBy("root").agg(F.min("doc").alias("component"))
-    label = labelled.join(least, "root").select("cid", "component")
+    sketch, roots = linked_classes(docs, text, key, width, percent, tile)
+    least = sketch.filter("cid is not null").groupBy("cid").agg(F.min("doc").alias("least"))
+    linked = least.join(roots, "cid")
+    component = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("cid", "component")
+    # Written first, so that the join below reads two plain shuffles and the rows of one hot set can be split.
+    label = stored(least.join(component, "cid", "left").select("cid", F.coalesce("component", "least").alias("component")), "minhash-label")
     out = sketch.select("doc", "n", "cid").join(label, "cid", "left").withColumn("component", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """`docs` with one row of each near-duplicate class, all its columns unchanged.
+
+    The row of the smallest key stays (of equal keys that of the smallest text
+    hash, of repeated rows one); a null key stays only where its class has no
+    other. Texts without words, null ones included, link with nothing and all
+    stay. An empty table gives an empty result.
+    """
+    sketch, roots = linked_classes(docs, text, key, width, percent, tile)
+    named = F.concat_ws(":", F.coalesce(F.col("doc").cast("string"), F.lit("-")), F.col("doc").isNull().cast("string"), F.col("text_hash").cast("string"))
+    rows = sketch.filter("cid is not null").select("cid", "doc", "text_hash").join(roots, "cid", "left").select(F.coalesce("root", "cid").alias("root"), "doc", "text_hash", named.alias("_k"))
+    groups = rows.groupBy("root").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash", "_k")).alias("top")).filter("rows > 1")
+    # Rows of groups of several: whether they are the one that stays.
+    judged = stored(rows.join(groups.select("root", F.col("top._k").alias("best")), "root").select("_k", "text_hash", (F.col("_k") == F.col("best")).alias("stays")).distinct(), "minhash-judged")
+    bitmap = hash_bitmap(judged.select("text_hash"), "minhash-judged-bitmap")
+    own_key = F.concat_ws(":", F.coalesce(docs[key].cast("string"), F.lit("-")), docs[key].isNull().cast("string"), F.xxhash64(docs[text]).cast("string"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own_key.alias("_k"), F.xxhash64(docs[text]).alias("text_hash"))
+    whole = in_bitmap(own, "text_hash", bitmap)
+    found = whole.filter("_may").join(judged.select("_k", "stays"), "_k", "left")
+    stay = [whole.filter("not _may"), found.filter("stays is null"), found.filter("stays").dropDuplicates(["_k"])]
+    free, unjudged, best = (x.select("row.*") for x in stay)
+    return free.unionAll(unjudged).unionAll(best)
+
+
 def op5_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rows for `documents`, by `near_duplicates` with four-word shingles and a similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -86,3 +86,56 @@ def test_signature_is_unbiased():
         a, b = u[:160], u[40:]
         errors.append(minhash.estimate(minhash.signature([a]), minhash.signature([b]))[0] - 0.6)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < np.sqrt(0.24 / 144)
+
+
+def near_copies(seed=9, size=150):
+    """A base text in the middle of many edited copies, some of them too far from it but near each other, and a chain."""
+    r = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    base, rows = [r.choice(vocabulary) for _ in range(200)], []
+    for edits in [4] * size + [9] * (size // 2) + [14] * (size // 3):
+        words = list(base)
+        for _ in range(edits):
+            words[r.randrange(200)] = r.choice(vocabulary)
+        rows.append(words)
+        if edits == 14:  # a twin of an outlier
+            rows.append([*words[:-1], "twin"])
+    rows.append(base)
+    words = list(base)
+    for _ in range(40):
+        words = list(words)
+        for _ in range(3):
+            words[r.randrange(200)] = r.choice(vocabulary)
+        rows.append(words)
+    r.shuffle(rows)
+    return [(k, " ".join(w)) for k, w in enumerate(rows, 1)]
+
+
+def test_large_group_in_one_tile_and_in_many(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) > 20  # outliers that must not be linked
+    for tile in (minhash.TILE, 9000, 1500):
+        assert got(minhash.near_duplicates(docs, tile=tile)) == want, tile
+
+
+def test_thue_morse_words_and_long_texts(spark):
+    a, b = "ab", "ba"
+    for _ in range(11):
+        a, b = a + b, b + a
+    long = " ".join(f"w{i % 7919}" for i in range(400_000))  # beyond a chunk
+    rows = [(1, a), (2, b), (3, f"{a} {b} x"), (4, f"{b} {a} x"), (5, long), (6, long + " end")]
+    out = got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows)
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a, 1), (5, a + " more", 2), (6, a, 3), (None, b, 4), (None, b, 5), (9, c, 6), (9, c, 7), (9, "other words that stay here", 8), (None, None, 9), (10, "", 10), (10, "", 11), (None, "  ", 12), (8, c + " tail", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumn("_k", F.lit("x")).withColumn("root", F.lit(1)).withColumn("stays", F.lit(True))
+    out = minhash.deduplicated(docs).collect()
+    kept = sorted(r.n for r in out)
+    assert kept in ([2, 4, 8, 9, 10, 11, 12, 13], [2, 5, 8, 9, 10, 11, 12, 13])
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
+    assert minhash.deduplicated(docs.filter("n = 8")).columns == docs.columns
