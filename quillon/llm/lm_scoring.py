@@ -9,7 +9,9 @@ from it by successor search among a context's continuations. An n-gram lies in
 the shard of its first word, so every level of a path is in one trie, and the
 position of a node is the pointer to its range in the next level. Nothing is
 broadcast but the at most HOT words so frequent that their continuations are
-dealt to several shards.
+dealt to several shards. Discounts are parameters, so a score does not depend
+on how many shards there are. A successor is known by 32 bits of its word's
+hash among the successors of one context.
 """
 
 from __future__ import annotations
@@ -18,17 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .eliasfano import SUCCESSOR_BITS, TrieShard
-from .textblocks import batch_rows, chunks, column, crc_remainder, hash_spans, mix, small_batches, stored, word_spans
+from .eliasfano import TrieShard
+from .textblocks import batch_rows, chunks, column, crc_remainder, give_back, hash_spans, mix, small_batches, stored, word_spans
 
 ORDER = 3
 BLOCK_BYTES = 8 << 20
 #: Training tokens a shard holds about.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
+SUCCESSOR_BYTES = 4
+_SHIFT = np.uint64(64 - 8 * SUCCESSOR_BYTES)
+#: What is taken from counts of 1, 2 and 3 or more (0: nothing) and given to the next lower order.
+DISCOUNTS = (0.0, 0.5, 0.75, 0.9)
 #: Contexts with a larger share of the tokens than 1 / HOT (so at most HOT of them) are dealt by successor too, SALTS ways.
 HOT, SALTS = 1000, 64
 END, START = (mix(np.array([k], np.uint64))[0] for k in (0xE2D, 0x57A27))
@@ -44,18 +51,36 @@ def restored(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** (-(code.astype(np.float64) - 1) * STEP), 0.0)
 
 
-def _planes(x: np.ndarray, size: int) -> bytes:
-    """The low `size` bytes of each number, byte by byte: rare high bytes compress to nothing."""
+_zstd: list = []
+
+
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    if not _zstd:
+        _zstd.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _zstd[0], _zstd[1]
+
+
+def _bytes(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of each number, byte by byte."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def _unplaned(data: bytes, size: int) -> np.ndarray:
+def _numbers(data: bytes, size: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8).reshape(size, -1)
     out = np.zeros((raw.shape[1], 8), np.uint8)
     out[:, :size] = raw.T
     return out.view("<u8").ravel()
 
 
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """`_bytes`, compressed: rare high bytes take no room."""
+    return _codec()[0].compress(_bytes(x, size))
+
+
+def _unplaned(data: bytes, size: int) -> np.ndarray:
+    return _numbers(_codec()[1].decompress(data), size)
+
+
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (mix(key + np.uint64(0x51)) % np.uint64(shards)).astype(np.int64)
 
@@ -82,7 +107,7 @@ class Block:
         return order, shard[order]
 
     def grams(self, order: int, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """Context hash and shard of each distinct bigram, and for each order from two (parent, 40-bit successor, training count, each token's n-gram or -1).
+        """Context hash and shard of each distinct bigram, and for each order from two (parent, short successor, training count, each token's n-gram or -1).
 
         Bigrams are sorted by (shard, context, successor), longer n-grams by
         (parent, successor), where the parent is the place of the n-gram
@@ -99,13 +124,13 @@ class Block:
         context, successor = hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]
         salted = np.isin(context, hot)
         shard = _shard(context + np.where(salted, (successor % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)), shards)
-        short = successor >> np.uint64(64 - SUCCESSOR_BITS)
+        short = successor >> _SHIFT
         sort = np.lexsort((short, context, shard))
         place = np.empty(len(sort), np.int64)
         place[sort] = np.arange(len(sort))
         levels = [(np.zeros(0, np.int64), short[sort], count[sort], place[inverse])]
         depth = np.arange(len(self.tokens)) - np.repeat(first, self.sizes)
-        short = self.words >> np.uint64(64 - SUCCESSOR_BITS)
+        short = self.words >> _SHIFT
         by_short = np.argsort(short, kind="stable")
         rank = np.empty(len(short), np.int64)
         rank[by_short] = np.arange(len(short))
@@ -166,7 +191,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one by one; what Arrow holds of earlier ones is given back."""
     for k in range(batch.num_rows):
         yield batch.slice(k, 1).to_pylist()[0]
-        pa.default_memory_pool().release_unused()
 
 
 def _hot(table: DataFrame, tokens: int) -> dict[int, int]:
@@ -214,7 +238,7 @@ def _requests(table: DataFrame, shards: int, hot: np.ndarray, order: int) -> Dat
                         if k:
                             above = cuts[k - 1][s], cuts[k - 1][s + 1]
                             spans.append(_planes(np.bincount(parent[g] - above[0], minlength=above[1] - above[0]), 4))
-                        successors.append(_planes(successor[g], 5))
+                        successors.append(_bytes(successor[g], SUCCESSOR_BYTES))
                         counts.append(_planes(count[g], 4))
                     out.append((s, row["block"], b.words[by_shard[w]].tobytes(), _planes(b.counts[by_shard[w]], 4), own[change].tobytes(), spans, successors, counts))
                 names = ["shard", "block", "words", "counts", "contexts", "spans", "successors", "grams"]
@@ -232,15 +256,6 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return unique, np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified discounts for counts 1, 2 and 3 or more, by the usual counts of counts."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-    if not n[0] or not n[1]:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0, *(min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.75 for k in (1, 2, 3))])
-
-
 def _summed(parents: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (parent, successor) with a count, in order, and their counts over all blocks."""
     order = np.flatnonzero(counts > 0)
@@ -250,14 +265,14 @@ def _summed(parents: np.ndarray, successors: np.ndarray, counts: np.ndarray) ->
     return c[at], s[at], np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
 
 
-def answer(rows: list[dict], hot: dict[int, int]) -> tuple[list[tuple], tuple[int, int], list[tuple[int, float]]]:
+def answer(rows: list[dict], hot: dict[int, int], discounts: tuple[float, ...] = DISCOUNTS) -> tuple[list[tuple], tuple[int, int], list[tuple[int, float]]]:
     """One shard's answers (block, word counts, codes of n-grams and of their contexts by order), its (tokens, distinct words) and hot contexts' discounted mass."""
     words, totals = _sums(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), np.concatenate([_unplaned(r["counts"], 4) for r in rows]))
     asked, given, masses = None, [], []
     for k in range(len(rows[0]["grams"])):
         spans = [_unplaned(r["spans"][k], 4).astype(np.int64) for r in rows]
         sizes = [int(x.sum()) for x in spans]
-        successors = np.concatenate([_unplaned(r["successors"][k], 5) for r in rows])
+        successors = np.concatenate([_numbers(r["successors"][k], SUCCESSOR_BYTES) for r in rows])
         counts = np.concatenate([_unplaned(r["grams"][k], 4) for r in rows]).astype(np.int64)
         heads = np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]) if k == 0 else asked  # what has a range here
         c, s, count = _summed(np.repeat(heads, np.concatenate(spans)), successors, counts)
@@ -267,7 +282,7 @@ def answer(rows: list[dict], hot: dict[int, int]) -> tuple[list[tuple], tuple[in
         else:
             bounds = np.searchsorted(c, np.arange(len(trie.codes) + 1))
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        cut = _discounts(count)[np.minimum(count, 3)]
+        cut = np.array(discounts)[np.minimum(count, 3)]
         total, mass = (np.bincount(owner, weights=x, minlength=len(bounds) - 1) for x in (count, cut))
         weight = mass / np.maximum(total, 1)
         if k == 0:
@@ -294,10 +309,10 @@ def answer(rows: list[dict], hot: dict[int, int]) -> tuple[list[tuple], tuple[in
     return out, (int(totals.sum()), int((totals > 0).sum())), masses
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train", order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train", order: int = ORDER, discounts: tuple[float, ...] = DISCOUNTS) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score for every document; `train` marks those learned from.
 
-    `order` is the length of the longest n-grams, two at least.
+    `order` is the length of the longest n-grams, two at least; `discounts` are what counts of 0, 1, 2 and more lose.
     Null and empty texts are the end token alone. Without training documents
     every score is that of an empty model. Repeated rows count as often as they
     come. An empty table gives an empty result; extra columns are dropped.
@@ -318,21 +333,30 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
     shards = max(12, -(-tokens // SHARD_TOKENS))
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
+        shard, held = -1, []
         for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["shard"], []).append(row)
-        for shard in sorted(held):
-            out, (n, v), masses = answer(held.pop(shard), hot)
-            names = ["shard", "block", "words", "codes", "weights", "n", "v", "hot", "mass"]
-            k, m = len(out), len(masses)
-            rows = [(shard, b, w, c, g, None, None, None, None) for b, w, c, g in out] + [(shard, None, None, None, None, n, v, None, None)]
-            rows += [(shard, None, None, None, None, None, None, int(np.uint64(h).astype(np.int64)), x) for h, x in masses]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            for a in range(0, k + 1 + m, 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + 64]], kinds[i]) for i in range(9)], names)
-
-    answers = _requests(table, shards, hot_keys, order).repartition(shards, "shard").mapInArrow(serve, "shard long, block long, words binary, codes array<binary>, weights array<binary>, n long, v long, hot long, mass double")
+            for row in _rows(batch):
+                if row["shard"] != shard and held:
+                    yield from replies(shard, held)
+                    held = []
+                shard = row["shard"]
+                held.append(row)
+        if held:
+            yield from replies(shard, held)
+
+    def replies(shard: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        out, (n, v), masses = answer(held, hot, discounts)
+        held.clear()
+        names = ["shard", "block", "words", "codes", "weights", "n", "v", "hot", "mass"]
+        k, m = len(out), len(masses)
+        rows = [(shard, b, w, c, g, None, None, None, None) for b, w, c, g in out] + [(shard, None, None, None, None, n, v, None, None)]
+        rows += [(shard, None, None, None, None, None, None, int(np.uint64(h).astype(np.int64)), x) for h, x in masses]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        for a in range(0, k + 1 + m, 64):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + 64]], kinds[i]) for i in range(9)], names)
+        give_back()
+
+    answers = _requests(table, shards, hot_keys, order).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(serve, "shard long, block long, words binary, codes array<binary>, weights array<binary>, n long, v long, hot long, mass double")
     with batch_rows(spark, 8):
         answers = stored(answers, "lm-answers")
     total = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()

@@ -288,8 +288,9 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     named = F.concat_ws(":", F.coalesce(F.col("doc").cast("string"), F.lit("-")), F.col("doc").isNull().cast("string"), F.col("text_hash").cast("string"))
     rows = sketch.filter("cid is not null").select("cid", "doc", "text_hash").join(roots, "cid", "left").select(F.coalesce("root", "cid").alias("root"), "doc", "text_hash", named.alias("_k"))
     groups = rows.groupBy("root").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash", "_k")).alias("top")).filter("rows > 1")
+    groups = stored(groups.select("root", F.col("top._k").alias("best")), "minhash-groups")  # written first, so that a hot group's rows can be split in the join
     # Rows of groups of several: whether they are the one that stays.
-    judged = stored(rows.join(groups.select("root", F.col("top._k").alias("best")), "root").select("_k", "text_hash", (F.col("_k") == F.col("best")).alias("stays")).distinct(), "minhash-judged")
+    judged = stored(rows.join(groups, "root").select("_k", "text_hash", (F.col("_k") == F.col("best")).alias("stays")).distinct(), "minhash-judged")
     bitmap = hash_bitmap(judged.select("text_hash"), "minhash-judged-bitmap")
     own_key = F.concat_ws(":", F.coalesce(docs[key].cast("string"), F.lit("-")), docs[key].isNull().cast("string"), F.xxhash64(docs[text]).cast("string"))
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own_key.alias("_k"), F.xxhash64(docs[text]).alias("text_hash"))

@@ -12,6 +12,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``: only ASCII white space separates.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_libc: list = []
 _SEED, _STEP = 0x3C79AC492BA7B653, U64(0x1C69B3F74AC4AE35)
 #: Keeps the low k of eight bytes.
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -113,6 +115,17 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later to the system: several workers share a machine."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        with contextlib.suppress(OSError, AttributeError):
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        _libc.append(lambda _: 0)
+    _libc[0](0)
 
 
 def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

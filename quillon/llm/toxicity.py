@@ -20,6 +20,8 @@ from .sampling import labelled_sample
 from .textblocks import LOWER_BYTE, chunks, column, crc_remainder, small_batches
 
 SIZES = (4, 5)
+#: Bytes of text whose grams are held at once (a longer text counts as one).
+PART = 1 << 18
 BITS = 17
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 3000
@@ -62,7 +64,7 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1 for each text (null: empty)."""
         out = np.full(len(texts), self.bias)
-        for i, j, buf, offsets in chunks(texts.fill_null("")):
+        for i, j, buf, offsets in chunks(texts.fill_null(""), PART):
             row, feature, count = feature_counts(buf, offsets, self.index, len(self.weight))
             out[i:j] += np.bincount(row, weights=np.log1p(count) * self.weight[feature], minlength=j - i)
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
@@ -76,7 +78,7 @@ def _frequencies(sample: DataFrame) -> np.ndarray:
         total = np.zeros((2, size), np.int64)
         for batch in batches:
             label = np.array(batch.column(1).to_pylist())
-            for i, _, buf, offsets in chunks(column(batch, "text")):
+            for i, _, buf, offsets in chunks(column(batch, "text"), PART):
                 row, bucket = grams(buf, offsets)
                 key = np.unique(row * size + bucket)
                 for c in (0, 1):
@@ -127,7 +129,7 @@ def train(sample: DataFrame, features: int = FEATURES) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offsets in chunks(column(batch, "text")):
+            for i, j, buf, offsets in chunks(column(batch, "text"), PART):
                 row, feature, count = feature_counts(buf, offsets, index, width)
                 bounds = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(v)) for v in (feature.astype(np.int32), count.astype(np.int32))]
