@@ -25,9 +25,10 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     if width and len(values):
         at = np.arange(len(values), dtype=np.uint64) * U(width)
         word, shift = (at >> U(6)).astype(np.int64), at & U(63)
-        np.bitwise_or.at(out, word, values << shift)
-        over = shift + U(width) > U(64)
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (U(64) - shift[over]))
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = shift + U(width) > U(64)  # one value a word at most reaches into the next
+        out[word[over] + 1] |= values[over] >> (U(64) - shift[over])
     return out
 
 
@@ -66,9 +67,9 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         upper = (values >> U(low_bits)).astype(np.int64)
-        high = np.zeros((n + (int(upper[-1]) if n else 0)) // 64 + 2, np.uint64)
-        at = upper + np.arange(n)
-        np.bitwise_or.at(high, at >> 6, U(1) << (at & 63).astype(np.uint64))
+        unary = np.zeros(((n + (int(upper[-1]) if n else 0)) // 64 + 2) * 64, np.uint8)
+        unary[upper + np.arange(n)] = 1
+        high = np.packbits(unary, bitorder="little").view(np.uint64)
         return cls(n, low_bits, _bits(values & U((1 << low_bits) - 1), low_bits), high)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
