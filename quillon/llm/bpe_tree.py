@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,12 @@ class TreeBpe:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.reduce(data)
 
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, end to end, and how many each has."""
+        each = [self.encode_piece(p) for p in pieces]
+        sizes = np.array([len(x) for x in each], np.int64)
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
+
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids, concatenated up the tree (leaves of 4,096 ids)."""
         if len(ids) <= 4096:
@@ -117,7 +124,7 @@ def _encoder(path: str) -> tuple[TreeBpe, PieceTable, list[str]]:
     if path not in _encoders:
         bpe = TreeBpe.from_file(path)
         decimals = [str(i) for i in range(max(bpe.bytes_of) + 1)]
-        _encoders[path] = bpe, PieceTable(lambda pieces: [bpe.encode_piece(p) for p in pieces]), decimals
+        _encoders[path] = bpe, PieceTable(bpe.encode_pieces), decimals
     return _encoders[path]
 
 

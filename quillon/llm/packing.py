@@ -11,8 +11,10 @@ longest first.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,33 @@ BLOCK_PIECES = 1 << 16
 _tables: dict[str, PieceTable] = {}
 
 
-def _table(path: str) -> PieceTable:
-    if path not in _tables:
-        from tokenizers import Tokenizer
+#: Stands between pieces that are encoded in one call; pieces that hold it go one by one.
+_BETWEEN, _JOINED = "\0", 64
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def encode(pieces: list[bytes]) -> list[list[int]]:
-            return [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+def _table(path: str) -> PieceTable:
+    if path not in _tables:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole, joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (whole, joined):
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The pieces are given, so they are only parted again and turned to bytes.
+        joined.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_BETWEEN, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (between,) = whole.encode(_BETWEEN, add_special_tokens=False).ids
+
+        def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            texts = [p.decode() for p in pieces]
+            odd = [k for k, t in enumerate(texts) if _BETWEEN in t]
+            if odd:
+                each = [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes = np.array([len(x) for x in each], np.int64)
+                return np.array([i for x in each for i in x], np.uint32), sizes
+            parts = [_BETWEEN.join([*texts[k : k + _JOINED], ""]) for k in range(0, len(texts), _JOINED)]
+            ids = np.fromiter(chain.from_iterable(x.ids for x in joined.encode_batch_fast(parts, add_special_tokens=False)), np.uint32)
+            ends = np.flatnonzero(ids == between)
+            return ids[ids != between], np.diff(np.append(-1, ends)) - 1
 
         _tables[path] = PieceTable(encode)
     return _tables[path]
@@ -199,7 +219,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
     texts are one piece of the end id; repeated rows are packed as often as
     they come; an empty table gives no rows; extra columns are dropped.
     """
-    cut = stored(pieces(docs, text, key, vocabulary, window), "packing-pieces")
+    # The serial number, fixed by writing it, deals repeated rows to all blocks.
+    cut = stored(pieces(docs, text, key, vocabulary, window).withColumn("serial", F.monotonically_increasing_id()), "packing-pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     total = sum(histogram.values())
     histogram.pop(window, None)
@@ -219,7 +240,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
         yield from block.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset)).combine_chunks().to_batches(max_chunksize=50_000)
 
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    dealt = cut.withColumnRenamed(key, "k").repartition(blocks, F.xxhash64("k", "start", "ids_crc32"))
+    dealt = cut.withColumnRenamed(key, "k").repartition(blocks, F.xxhash64("serial")).drop("serial")
     return dealt.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 

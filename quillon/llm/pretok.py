@@ -94,14 +94,14 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """Ids of each distinct piece, computed once by `encode(list of bytes) -> list of id lists`.
+    """Ids of each distinct piece, computed once by `encode(pieces) -> (ids of all, ids a piece)`.
 
     Pieces are told apart by their bytes: within a chunk, hashes only propose
     equal ones. Holds at most `limit` pieces and `byte_limit` of their bytes and
     starts anew beyond that, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 300_000, byte_limit: int = 16 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, byte_limit: int = 16 << 20):
         self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
         self._clear()
 
@@ -113,17 +113,17 @@ class PieceTable:
         self.used = self.held = 0
 
     def _add(self, pieces: list[bytes]) -> None:
-        for piece, ids in zip(pieces, self.encode(pieces), strict=True):
-            k = len(self.index)
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.held += len(piece)
-            self.index[piece] = k
+        ids, sizes = self.encode(pieces)
+        k, n = len(self.index), len(pieces)
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + n], self.size[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.held += sum(map(len, pieces))
+        self.index.update(zip(pieces, range(k, k + n), strict=True))
 
     def tokens(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, first id of each row (n + 1))."""
@@ -136,11 +136,12 @@ class PieceTable:
         pieces = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         if (len(self.index) + len(pieces) > self.limit and len(self.index) > self.limit // 4) or self.held > self.byte_limit:
             self._clear()
-        known = self.index.get
-        missing = list(dict.fromkeys(p for p in pieces if known(p) is None))
-        if missing:
-            self._add(missing)
-        slot = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))[inverse]
+        slots = np.array([self.index.get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(slots < 0).tolist()
+        if new:
+            self._add(list(dict.fromkeys([pieces[k] for k in new])))
+            slots[new] = [self.index[pieces[k]] for k in new]
+        slot = slots[inverse]
         size = self.size[slot]
         ends_at = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[slot] - (ends_at - size), size) + np.arange(ends_at[-1])]

@@ -75,3 +75,16 @@ def test_plan_fills_windows():
     hist = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
     seq, offset, n = packing.pack_block(lengths, packing.plan(hist), 1.0)
     assert (seq >= 0).all() and lengths.sum() > 0.98 * 2048 * n
+
+
+def test_separators_repeats_and_long_texts(spark):
+    a, b = "ab", "ba"
+    for _ in range(11):
+        a, b = a + b, b + a
+    long = " ".join(f"w{i % 997}é" for i in range(150_000))
+    rows = [(1, "a\0b c\0"), (2, "\0"), (3, a + " " + b), (4, b + " " + a), (5, long)]
+    check(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), dict(rows))
+    same = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "1L AS serial", "1L AS k")
+    out = packing.pack(same, block_pieces=500)
+    sizes = [r["n"] for r in out.groupBy((F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("block")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 800  # repeats of one row are dealt to all blocks
