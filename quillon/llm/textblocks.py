@@ -164,6 +164,22 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, rows
 
 
+def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point of each character and the first character of each row (n + 1)."""
+    lead = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    b = buf[at].astype(np.uint32)
+    point = b.copy()
+    wide = np.flatnonzero(b >= 0xC0)
+    if len(wide):
+        w, start = b[wide], at[wide]
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+        c1, c2, c3 = (padded[start + k].astype(np.uint32) & 0x3F for k in (1, 2, 3))
+        three, four = (w & 0x0F) << 12 | c1 << 6 | c2, (w & 0x07) << 18 | c1 << 12 | c2 << 6 | c3
+        point[wide] = np.where(w < 0xE0, (w & 0x1F) << 6 | c1, np.where(w < 0xF0, three, four))
+    return point, np.concatenate([[0], np.cumsum(lead)])[offsets]
+
+
 def rows_of(first: np.ndarray) -> np.ndarray:
     """Row number of each item, given the first item of each row (n + 1)."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -266,7 +282,7 @@ def batch_rows(spark, rows: int):
 
 
 def crc_remainder(column_name: str, modulus: int):
-    """crc32 of an integer id written as text, modulo `modulus` (null for a null id)."""
+    """crc32 of an integer id written as text, modulo `modulus` (a null id counts as empty text)."""
     from pyspark.sql import functions as F
 
-    return F.crc32(F.col(column_name).cast("string").cast("binary")) % modulus
+    return F.crc32(F.coalesce(F.col(column_name).cast("string"), F.lit("")).cast("binary")) % modulus
