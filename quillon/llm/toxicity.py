@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes scaled features (operator 2).
 
-Features are lower-cased byte 4- and 5-grams, hashed. Document frequencies by
+Features are lower-cased character 4- and 5-grams, hashed. Document frequencies by
 class in a bounded labelled sample give log-count ratios; the most telling
 grams become features log(1 + count) * ratio of a logistic regression. The
 model, one number a hash bucket, has a fixed size.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .textblocks import LOWER_BYTE, chunks, column, crc_remainder, small_batches
+from .textblocks import LOWER_BYTE, chunks, code_points, column, crc_remainder, mix, rows_of, small_batches
 
 SIZES = (4, 5)
 #: Bytes of text whose grams are held at once (a longer text counts as one).
@@ -30,18 +30,18 @@ L2, ROUNDS = 1e-4, 400
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every gram that lies within a row."""
-    n = len(buf)
-    low = np.concatenate([LOWER_BYTE[buf], np.zeros(8, np.uint8)]).astype(np.uint64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
+    """(row, bucket) of every gram of code points that lies within a row."""
+    point, first = code_points(LOWER_BYTE[buf], offsets)
+    n, point = len(point), np.concatenate([point, np.zeros(8, np.uint32)]).astype(np.uint64)
+    row = rows_of(first)
+    room = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     rows, buckets = [], []
     for k, size in enumerate(SIZES):
         code = np.zeros(n, np.uint64)
         for j in range(size):
-            code = code << np.uint64(8) | low[j : j + n]
+            code = code * np.uint64(0xD6E8FEB86659FD93) + point[j : j + n]
         at = np.flatnonzero(room >= size)
-        buckets.append((code[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS))
+        buckets.append((mix(code[at]) >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS))
         rows.append(row[at])
     return np.concatenate(rows), np.concatenate(buckets)
 
@@ -112,7 +112,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def train(sample: DataFrame, features: int = FEATURES) -> Model:
-    """Fit on (text, label) rows with labels 0 and 1; of one class only, or none, a constant score results."""
+    """Fit on (text, label) rows with labels 0 and 1; of one class only, or none, a constant score results.
+
+    Null and empty texts have no features; repeated rows count as often as they come; extra columns are not read.
+    """
     n = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     frequency = _frequencies(sample)
@@ -148,12 +151,16 @@ def train(sample: DataFrame, features: int = FEATURES) -> Model:
 
 
 def scorer(model: Model):
-    """The model as a column function of a text column."""
+    """The model as a column function of a text column; null and empty texts get the bias's probability."""
     return F.arrow_udf(lambda texts: pa.array(model.scores(texts)), "double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out: bool = False) -> Model:
-    """A model of labels.toxic; with `held_out`, only ids whose crc32 mod 5 is not 0 are learned from."""
+    """A model of labels.toxic; with `held_out`, only ids whose crc32 mod 5 is not 0 are learned from.
+
+    Labels without an id, with another label than 0 or 1, or whose id no document has are left out; of labels that repeat an
+    id one counts. Empty tables give a constant score. Extra columns of either table are not read.
+    """
     small_batches(docs.sparkSession)
     allowed = crc_remainder("doc_id", 5) != 0 if held_out else None
     return train(labelled_sample(docs, labels, "toxic", SAMPLE_PER_CLASS, allowed))
