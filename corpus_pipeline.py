@@ -14,18 +14,24 @@ from quillon.llm.textblocks import small_batches, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic. Null and empty texts stay unless labels make toxicity the rule."""
+    """Documents that the classifier does not call toxic.
+
+    Null and empty texts stay unless labels make toxicity the rule. Repeated rows share their fate; an empty table stays empty.
+    """
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.scorer(model)("text") < 0.5)
 
 
 def resample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by Gumbel top-k on their importance weights; texts unlike the target go."""
+    """Documents drawn by Gumbel top-k on their importance weights; texts unlike the target go.
+
+    Null and empty texts weigh 0. Repeated rows share their fate. An empty table stays empty; without labels all stay.
+    """
     small_batches(spark)
-    ratio = quality_sampling.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    weight = quality_sampling.weigher(ratio)(docs["text"])
-    weighed = stored(docs.select(weight.alias("log_weight"), quality_sampling.gumbel().alias("g")).withColumn("gumbel_key", F.col("log_weight") + F.col("g")), "importance")
-    threshold = quality_sampling.cut(weighed, quality_sampling.MARGIN)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weight = quality_sampling.weigher(quality_sampling.fitted(docs, labels))(docs["text"])
+    weighed = stored(docs.select(weight.alias("log_weight"), quality_sampling.gumbel().alias("g")).select((F.col("log_weight") + F.col("g")).alias("gumbel_key")), "importance")
+    threshold = quality_sampling.cut(weighed, quality_sampling.share(labels))
     return docs.filter(weight + quality_sampling.gumbel() >= threshold)
 
 
@@ -38,12 +44,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found masked and n_chars counted again."""
+    """All documents, with every secret found masked and n_chars counted again. Null and empty texts and repeated rows stay as they are; an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of padded sequences."""
+    """All documents as pieces of padded sequences. Null and empty texts are one piece of the end id; repeated rows are packed as often as they come; an empty table gives no pieces."""
     return packing.pack(docs)
 
 

@@ -2,10 +2,11 @@
 
 Two generative models over hashed word uni- and bigrams, one of a bounded
 sample of target text (labelled of high quality), one counted over all raw
-text, give each document the log of its importance weight. Gumbel top-k draws
-k documents without replacement in proportion to the weights; k is the
-corpus's effective target size, the sum of min(1, weight * exp(MARGIN)), so
-it grows with what is worth keeping and not with the table.
+text, give each document the log of its importance weight: the sum over its
+n-grams of log p_target / p_raw. Gumbel top-k draws k documents without
+replacement in proportion to the weights; k is a stated share of the
+documents, by default the share of target rows among the labelled ones and
+SPARE more, as that share is an estimate.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ BITS = 12
 SAMPLE = 8192
 #: Occurrences a bucket that the raw model counts for in the target model.
 PRIOR = 10
-#: Nats by which a document may be likelier raw than target and still count as whole, and the allowance
-#: for each of its n-grams: the models' estimation errors add up over a document.
-MARGIN, ALLOWANCE = 6.0, 0.02
+#: Added to the labelled share of target documents: k is rather too large than too small.
+SPARE = 0.01
 SEED = 20240607
 _SIZE = 2 << BITS
 
@@ -75,13 +75,13 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weigher(ratio: np.ndarray):
-    """Log importance weight, with the allowance, of a text column's texts (null or empty: 0)."""
+    """Log importance weight of a text column's texts (null or empty: 0)."""
 
     def weigh(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
         for i, j, buf, offsets in chunks(texts.fill_null("")):
             row, bucket = buckets(buf, offsets)
-            out[i:j] = np.bincount(row, weights=ratio[bucket] + ALLOWANCE, minlength=j - i)
+            out[i:j] = np.bincount(row, weights=ratio[bucket], minlength=j - i)
         return pa.array(out)
 
     return F.arrow_udf(weigh, "double")
@@ -125,8 +125,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return log_ratio(counts(target), counts(docs))
 
 
-def resample(docs: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_id", margin: float = MARGIN) -> DataFrame:
-    """key, log_weight, gumbel_key, selected for every document.
+def share(labels: DataFrame, label: str = "quality") -> float:
+    """Part of the documents to draw: that of target rows (1) among the labelled ones, and SPARE; all without labels."""
+    n = {r["y"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    return min(1.0, n.get(1, 0) / sum(n.values()) + SPARE) if n else 1.0
+
+
+def resample(docs: DataFrame, ratio: np.ndarray, part: float, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, log_weight, gumbel_key, selected for every document; round(part * documents) are selected.
 
     Null and empty texts weigh 0 (as likely either way). Rows tied at the k-th
     key are all selected; repeated rows share their noise and so their fate.
@@ -134,16 +140,16 @@ def resample(docs: DataFrame, ratio: np.ndarray, text: str = "text", key: str =
     """
     small_batches(docs.sparkSession)
     scored = stored(docs.select(docs[key].alias("k"), weigher(ratio)(docs[text]).alias("log_weight")).withColumn("gumbel_key", F.col("log_weight") + gumbel("k")), "importance")
-    threshold = cut(scored, margin)
+    threshold = cut(scored, part)
     return scored.select(F.col("k").alias(key), "log_weight", "gumbel_key", (F.col("gumbel_key") >= threshold).alias("selected"))
 
 
-def cut(scored: DataFrame, margin: float) -> float:
-    """The k-th largest Gumbel key, k the effective target size."""
-    k = scored.agg(F.round(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") + margin)))).alias("k")).first()["k"]
-    return kth_largest(scored, "gumbel_key", int(k or 0))
+def cut(scored: DataFrame, part: float) -> float:
+    """The k-th largest Gumbel key, k = round(part * rows)."""
+    return kth_largest(scored, "gumbel_key", int(part * scored.count() + 0.5))
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return resample(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """doc_id, log_weight, gumbel_key and selected for `documents`, by `resample`."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return resample(docs, fitted(docs, labels), share(labels))

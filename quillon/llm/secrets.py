@@ -24,7 +24,7 @@ ASSIGN_VALUE = 8
 IDENTIFIER = r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name|_?id)?|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}"
 MIXED = ("[A-Z]", "[a-z]", "[0-9]")
-ENDPOINT = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+"
+ENDPOINT = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]+"
 SCOPE_BREAK = r"\n[\x20\t\r]*\n"
 #: Code points between two parts of one credential at most.
 REACH = 400
