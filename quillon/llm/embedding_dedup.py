@@ -33,6 +33,8 @@ TILE = 512
 BOX = 6
 #: Width of the cells, over the first two coordinates, that tiles are cut from.
 CELL = 0.25
+#: Quantiles of the third coordinate by which a crowded cell is cut into parts.
+CUTS = 64
 #: Lengths of at most so many distinct vectors are compared in one pass over all such lengths, the others in one each.
 FEW = 64
 #: Dimensions accumulated before each bound.
@@ -110,8 +112,8 @@ def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 def _tiles(classes: DataFrame, dims: int, axes: np.ndarray) -> DataFrame:
     """One row a tile: label, tile, ids, copies, the vectors (double, row by row) and the box of their leading coordinates.
 
-    Cells of a grid over the first two coordinates are cut into tiles of about TILE vectors by a hash, so
-    that a crowded cell is many tiles and never one.
+    Cells of a grid over the first two coordinates are cut into tiles of about TILE vectors along the
+    third, and by a hash where CUTS ranges of that are not enough, so that a crowded cell is many tiles and never one.
     """
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +122,16 @@ def _tiles(classes: DataFrame, dims: int, axes: np.ndarray) -> DataFrame:
                 x = np.array(_lists(batch.column(3)), np.float64)
                 y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
                 cells = [pa.array(np.floor(y[:, k] / CELL).astype(np.int64) if k < dims else np.zeros(len(y), np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *cells], ["label", "id", "copies", "x", "c0", "c1"])
+                third = pa.array(y[:, 2] if dims > 2 else np.zeros(len(y)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *cells, third], ["label", "id", "copies", "x", "c0", "c1", "y2"])
 
-    schema = f"label {classes.schema['label'].dataType.simpleString()}, id long, copies long, x array<double>, c0 long, c1 long"
+    schema = f"label {classes.schema['label'].dataType.simpleString()}, id long, copies long, x array<double>, c0 long, c1 long, y2 double"
     turned = stored(classes.select("label", "id", "copies", "x").mapInArrow(turn, schema), "tiles-turned")
-    cells = turned.groupBy("label", "c0", "c1").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    dealt = turned.join(cells, ["label", "c0", "c1"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    cells = turned.groupBy("label", "c0", "c1").agg(F.ceil(F.count("*") / TILE).alias("parts"), F.percentile_approx("y2", [k / CUTS for k in range(1, CUTS)], 10 * CUTS).alias("cuts"))
+    # Of n parts, the vector's range of the third coordinate has n / CUTS, the hash tells which; below CUTS parts, several ranges share one.
+    at = F.size(F.filter("cuts", lambda c: c < F.col("y2")))
+    each = F.greatest(F.lit(1), F.ceil(F.col("parts") / CUTS))
+    dealt = turned.join(cells, ["label", "c0", "c1"]).withColumn("part", F.floor(at * F.least("parts", F.lit(CUTS)) / CUTS) * each + F.pmod(F.xxhash64("id"), each)).drop("y2", "cuts")
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

@@ -73,3 +73,22 @@ def test_bounds_lose_nothing():
     a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
     i, j = ed.reaching(a, b, 0.9)
     assert set(zip(*np.nonzero(a @ b.T >= 0.9))) <= set(zip(i, j)) and len(i) <= (a @ b.T >= 0.9 - 1e-6).sum()
+
+
+def test_crowded_cell_is_cut_into_parts(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=24)
+    x = base + r.normal(size=(2200, 24)) * np.linspace(0.35, 0.02, 24)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    links = near.sum(axis=1) - 1
+    df = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = {row.vec_id: row for row in ed.near_vectors(df).collect()}
+    assert [got[k].n_links for k in range(len(x))] == links.tolist()
+    root = np.arange(len(x))
+    while True:
+        new = np.array([root[near[k]].min() for k in range(len(x))])
+        if (new == root).all():
+            break
+        root = new
+    assert [got[k].component_id for k in range(len(x))] == root.tolist()
