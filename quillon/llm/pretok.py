@@ -93,27 +93,22 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-class PieceTable:
-    """Ids of each distinct piece, computed once by `encode(pieces) -> (ids of all, ids a piece)`.
-
-    Pieces are told apart by their bytes: within a chunk, hashes only propose
-    equal ones. Holds at most `limit` pieces and `byte_limit` of their bytes and
-    starts anew beyond that, so its memory is bounded.
-    """
+class Generation:
+    """Ids of pieces, end to end, and where each piece's begin."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, byte_limit: int = 16 << 20):
-        self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self):
         self.index: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = self.held = 0
 
-    def _add(self, pieces: list[bytes]) -> None:
-        ids, sizes = self.encode(pieces)
+    def slots(self, pieces: list[bytes]) -> np.ndarray:
+        """Slot of each piece, -1 for an unknown one."""
+        known = self.index.get
+        return np.array([known(p, -1) for p in pieces], np.int64)
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.index), len(pieces)
         while k + n > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
@@ -125,6 +120,26 @@ class PieceTable:
         self.held += sum(map(len, pieces))
         self.index.update(zip(pieces, range(k, k + n), strict=True))
 
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces in these slots, end to end, how many each has)."""
+        size = self.size[slots]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+class PieceTable:
+    """Ids of each distinct piece, computed by `encode(pieces) -> (ids of all, ids a piece)` where they are not held.
+
+    Pieces are told apart by their bytes: within a chunk, hashes only propose
+    equal ones. Two generations of at most `limit` pieces, or `byte_limit` of
+    their bytes, and a chunk's are held: when the younger is full it becomes
+    the older, and what is met again moves to the younger.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 180_000, byte_limit: int = 8 << 20):
+        self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
+        self.young, self.old = Generation(), Generation()
+
     def tokens(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, first id of each row (n + 1))."""
         starts = piece_starts(buf, offsets)
@@ -134,19 +149,21 @@ class PieceTable:
         at, inverse = distinct_spans(buf, starts, ends)
         data = buf.tobytes()
         pieces = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        if (len(self.index) + len(pieces) > self.limit and len(self.index) > self.limit // 4) or self.held > self.byte_limit:
-            self._clear()
-        slots = np.array([self.index.get(p, -1) for p in pieces], np.int64)
-        new = np.flatnonzero(slots < 0).tolist()
-        if new:
-            self._add(list(dict.fromkeys([pieces[k] for k in new])))
-            slots[new] = [self.index[pieces[k]] for k in new]
-        slot = slots[inverse]
-        size = self.size[slot]
-        ends_at = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[slot] - (ends_at - size), size) + np.arange(ends_at[-1])]
-        first_piece = np.searchsorted(starts, offsets)
-        return ids, np.concatenate([[0], ends_at])[first_piece]
+        if len(self.young.index) > self.limit or self.young.held > self.byte_limit:
+            self.young, self.old = Generation(), self.young
+        slots = self.young.slots(pieces)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = list(dict.fromkeys([pieces[k] for k in missing.tolist()]))
+            before = self.old.slots(new)
+            met = np.flatnonzero(before >= 0)
+            self.young.add([new[k] for k in met.tolist()], *self.old.ids(before[met]))
+            rest = [new[k] for k in np.flatnonzero(before < 0).tolist()]
+            if rest:
+                self.young.add(rest, *self.encode(rest))
+            slots[missing] = self.young.slots([pieces[k] for k in missing.tolist()])
+        ids, size = self.young.ids(slots[inverse])
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
 
 
 def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
