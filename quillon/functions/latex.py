@@ -148,22 +148,100 @@ def itemize_entries(content: str, marker: str) -> list[dict[str, str]]:
     return out
 
 
-def clean_comments(text: str, inline: bool = True) -> str:
-    r"""Without comment lines, and with `inline` without trailing comments; escaped percent signs stay."""
-    lines = [x for x in text.split("\n") if not x.lstrip().startswith("%")]
-    return "\n".join(re.sub(r"(?<!\\)%.*$", "", x).rstrip() for x in lines) if inline else "\n".join(lines)
+#: Comment classes that are whole lines, and those that end a line.
+LINE_COMMENTS = {"decorative": r"^\s*%+\s*$", "section_headers": r"^\s*%%%.*%%%", "descriptive": r"^\s*%(\s+%)*\s+[^-\\]", "commented_code": r"^\s*%(\s+%)*\s*\\"}
+INLINE_COMMENTS = {"inline_dates": ((r"}%\{[^}]*\}", "}"), (r"}%[^}]*\}(?=\s*$)", "}"), (r"}%[^}]+$", "}")), "inline_annotations": ((r"\s*%\s*-+\s*$", ""),), "descriptive": ((r"\s*(?<!\\)%\s*[^-].*$", ""),)}
+COMMENT_CLASSES = tuple(dict.fromkeys((*LINE_COMMENTS, *INLINE_COMMENTS)))
+
+
+def keeps_percent(line: str) -> bool:
+    """Whether a line's percent signs are all escaped, or only suppress the white space at its end."""
+    if "%" not in line.replace("\\%", ""):
+        return True
+    suppresses = line.strip() != "%" and re.search(r"[^%\s]\s*%\s*$", line)
+    return bool(suppresses) and (not line.lstrip().startswith("%") or bool(re.match(r"^[^%]+%\s*$", line)))
+
+
+def _uncommented(text: str, classes: tuple[str, ...]) -> str:
+    whole = [re.compile(p) for name, p in LINE_COMMENTS.items() if name in classes]
+    ends = [rule for name, rules in INLINE_COMMENTS.items() if name in classes and name != "descriptive" for rule in rules]
+    out = []
+    for line in text.split("\n"):
+        if not keeps_percent(line):
+            if any(p.search(line) for p in whole):
+                continue
+            for p, to in ends:
+                line = re.sub(p, to, line)
+            if "descriptive" in classes and re.search(r"(?<!\\)%\s*[^-\s]", line):
+                for p, to in INLINE_COMMENTS["descriptive"]:
+                    line = re.sub(p, to, line)
+        out.append(line)
+    return "\n".join(out)
+
+
+def clean_comments(text: str, classes: tuple[str, ...] = COMMENT_CLASSES, preamble: tuple[str, ...] | None = None, suggestions: bool = False) -> str:
+    r"""Without the comments of the given classes (of those in `preamble` up to \begin{document}, if given); with `suggestions` without \suggest{...} blocks."""
+    head, mark, body = text.partition(r"\begin{document}")
+    out = _uncommented(text, classes) if preamble is None or not mark else _uncommented(head + mark, preamble) + _uncommented(body, classes)
+    while suggestions and (found := re.search(r"\\suggest(?=\{)", out)):
+        try:
+            end = closing(out, found.end())
+        except ValueError:
+            break
+        out = out[: found.start()] + out[end + 1 :]
+    return out
+
+
+#: Rewriting rules, in this order: those before a textblock is moved, and those after.
+RULES = (
+    (r"(?s)\\phantomsection\s*\\textcolor\{black\}\{\\bfseries\s+\\large\s+Education\}\s*\\addcontentsline\{toc\}\{section\}\{Education\}\s*\\columnhrule\s*", r"\\section*{Education}\n"),
+    (r"(\\switchcolumn)\n+\\vspace\{[^}]+\}\n+", r"\1\n\n"),
+    (r"\n+\\vspace\{[^}]+\}\n+(\\switchcolumn)", r"\n\n\1"),
+    (r"\n\n+(\\(?:renewcommand|setlength|deflen))", r"\n\1"),
+    (r"(\\(?:renewcommand|setlength|deflen)\{[^}]+\}\{[^}]*\})\n\n+", r"\1\n"),
+    (r"\n+(\s*\\item[^ ]*)", r"\n\n\1"),
+    (r"( *\\end\{[^}]+\})\n+", r"\1\n\n\n"),
+    (r"\n+( *\\end\{[^}]+\})", r"\n\n\1"),
+    (r"\n+(\\section\*\{[^}]+\})", r"\n\n\n\1"),
+    (r"(\\section\*\{[^}]+\})\n+", r"\1\n\n\n"),
+    (r"([^\n])\n( *\\begin\{itemize[^}]*\})", r"\1\n\n\2"),
+    (r"(\\begin\{itemize[^}]*\})\n+", r"\1\n\n"),
+)
+LATE_RULES = (
+    (r"(\\item\[[^\]]*\])\s+\{", r"\1{"),
+    (r"(\\item\w+)\s{2,}", r"\1 "),
+    (r"(?m)\s+%\s*$", ""),
+    (r"(\\end\{itemize(?:Key)?Project\})\n+\\vspace\{[^}]+\}\n+(\\begin\{itemize(?:Key)?Project\})", r"\1\n\n\n\2"),
+    (r"\\\\[ \t]+", "\\\\\\\\\n"),
+)
+TAB = " " * 8
+PAGE_SETUP = r"(?s)\\clearpage.*?(\\toggletrue\{useleftbar\}.*?\\pagestyle\{resume\})"
+DECORATIONS = r"(?:\s*\\(?:leftgrad|bottombar)\{[^}]*\}(?:\{[^}]*\})*\s*)*"
+
+
+def textblock_moved(text: str) -> str:
+    """With the first textblock, and the decorations that follow it, right behind the page setup after a page break (where there is one)."""
+    block = re.search(r"(?s)\\begin\{textblock\*\}.*?\\end\{textblock\*\}" + DECORATIONS, text)
+    if not block:
+        return text
+    rest = text[: block.start()] + text[block.end() :]
+    setup = re.search(PAGE_SETUP, rest)
+    return rest if not setup else f"{rest[: setup.end(1)]}\n\n{block[0].strip()}\n{rest[setup.end(1) :]}"
 
 
 def normalise(text: str, passes: int = 10) -> str:
-    """White space, blank lines and paragraph ends rewritten until nothing changes (at most `passes` times)."""
-    rules = ((r"[ \t]+$", ""), (r"\\par[ \t]*\n", "\n\n"), (r"\n{3,}", "\n\n"), (r"\A\s+|\s+\Z", ""), (r"\\vspace\{0pt\}\n?", ""))
+    """Structure and white space by the ordered rules, again and again until nothing changes (at most `passes` times)."""
     for _ in range(passes):
         before = text
-        for pattern, to in rules:
-            text = re.sub(pattern, to, text, flags=re.MULTILINE)
+        text = "\n".join(line.lstrip() for line in text.replace("\t", TAB).split("\n"))
+        for pattern, to in RULES:
+            text = re.sub(pattern, to, text)
+        text = textblock_moved(text)
+        for pattern, to in LATE_RULES:
+            text = re.sub(pattern, to, text)
         if text == before:
             break
-    return text + "\n"
+    return text
 
 
 def _column(f):
@@ -176,3 +254,4 @@ def _column(f):
 plaintext_column = _column(to_plaintext)
 markdown_column = _column(to_markdown)
 normalise_column = _column(normalise)
+cleaned_column = _column(lambda text: clean_comments(text, suggestions=True))

@@ -26,7 +26,11 @@ class Tokenizer:
 
     acronyms: dict[str, str] = field(default_factory=dict)
     phrases: dict[str, str] = field(default_factory=dict)
-    stopwords: tuple[str, ...] = ()
+    #: None: the default English ones; empty: none.
+    stopwords: tuple[str, ...] | None = None
+    #: Words of the lexicon that inflected words are led back to, verbs before nouns; takes precedence over stems.
+    verbs: tuple[str, ...] = ()
+    nouns: tuple[str, ...] = ()
     stem: bool = False
     equivalents: dict[str, str] = field(default_factory=dict)
     min_length: int = 2
@@ -45,10 +49,13 @@ class Tokenizer:
     def __call__(self, text: Column) -> Column:
         """array<string> of tokens; null text has none."""
         words = F.transform(F.regexp_extract_all(self.normalised(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), F.lower)
-        if self.stopwords:
-            stop = F.array(*map(F.lit, self.stopwords))
-            words = F.filter(words, lambda w: ~F.array_contains(stop, w))
-        if self.stem:
+        stop = default_stopwords(SparkSession.active()) if self.stopwords is None else self.stopwords
+        if stop:
+            table = F.create_map(*[x for w in dict.fromkeys(stop) for x in (F.lit(w), F.lit(True))])
+            words = F.filter(words, lambda w: ~F.map_contains_key(table, w))
+        if self.verbs or self.nouns:
+            words = lemmatise_all(self.verbs, self.nouns)(words)
+        elif self.stem:
             words = stem_all()(words)
         if self.equivalents:
             table = F.create_map(*[F.lit(x) for kv in self.equivalents.items() for x in kv])
@@ -61,6 +68,11 @@ class Tokenizer:
         return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, *[_grams(w, n) for n in range(2, self.ngrams + 1)])), 1)
 
 
+def grams(words: Column, n: int) -> Column:
+    """The n-grams of an array of words alone, joined by _."""
+    return F.element_at(F.transform(F.array(words), lambda w: _grams(w, n)), 1)
+
+
 def _grams(words: Column, n: int) -> Column:
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), "_"))
@@ -76,6 +88,32 @@ def stem_all():
     return stem
 
 
+#: Endings of inflected verbs and nouns, and what stands for them.
+VERB_ENDINGS = (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))
+NOUN_ENDINGS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+
+
+def lemma(word: str, verbs: frozenset[str], nouns: frozenset[str]) -> str:
+    """The verb that `word` is a form of, else the noun, else the word: the shortest known one that an ending leads to."""
+    for known, endings in ((verbs, VERB_ENDINGS), (nouns, NOUN_ENDINGS)):
+        led = [word[: -len(end)] + to for end, to in endings if word.endswith(end)]
+        found = [w for w in (word, *led) if w in known]
+        if found and (best := min(found, key=len)) != word:
+            return best
+    return word
+
+
+def lemmatise_all(verbs: tuple[str, ...], nouns: tuple[str, ...]):
+    """Lemmas of an array of words by a given lexicon (Arrow batches)."""
+    v, n = frozenset(verbs), frozenset(nouns)
+
+    @F.pandas_udf("array<string>")
+    def lead_back(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: [lemma(w, v, n) for w in ws])
+
+    return lead_back
+
+
 def porter(word: str) -> str:
     """Porter's algorithm of 1980."""
     w = word

@@ -7,6 +7,7 @@ without a target is a ValueError.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable
@@ -145,23 +146,34 @@ class Extractor:
 def infer_section_type(content, region):
     """Column: section type by the first rule that fits."""
     has = lambda p: content.rlike(p)
-    begin = r"\\begin\{itemize"
-    caps = F.contains(content, F.lit("\\setlength")) & F.contains(content, F.lit("\\baselineskip")) & F.contains(content, F.lit("\\scshape"))
+    named = lambda name: has(r"\\begin\{itemize" + name + r"\}")
+    holds = lambda *words: functools.reduce(lambda x, y: x & y, [F.contains(content, F.lit(w)) for w in words])
     return (
-        F.when(has(begin + r"ProjMain\}"), "projects")
-        .when(has(begin + r"Academic\}"), "work_history")
-        .when(has(begin + r"\}") & F.contains(content, F.lit("University")), "education")
-        .when(has(begin + r"\}") & has(r"\\item\[") & has(begin + r"LL\}"), "skill_categories")
-        .when(caps, "skill_list_caps")
-        .when(F.contains(content, F.lit("|")), "skill_list_pipes")
-        .when((region == "left_column") & has(begin), "custom_itemize")
-        .when(has(r"(?m)^\s*\\item"), "simple_list")
+        F.when(named("ProjMain"), "projects")
+        .when(named("Academic"), "work_history")
+        .when(named("") & holds("University"), "education")
+        .when(named("") & has(r"\\item\[") & named("LL"), "skill_categories")
+        .when(holds("\\setlength", "\\baselineskip", "\\scshape"), "skill_list_caps")
+        .when(holds("|"), "skill_list_pipes")
+        .when((region == "left_column") & named("[A-z]*"), "personality_alias_array")
+        .when(named(""), "custom_itemize")
+        .when(named("[A-z]*"), "simple_list")
         .otherwise("unknown")
     )
 
 
+#: Errors that do not begin with "! ", and warnings; the group is the message.
+LOG_ERRORS = (r"Undefined control sequence", r"File ended while scanning use of", r"Emergency stop")
+LOG_WARNINGS = (r"LaTeX Warning: (.+)", r"Package \w+ Warning: (.+)", r"Overfull \\hbox \((.+)\)", r"Underfull \\hbox \((.+)\)")
+
+
 def log_messages(logs, key: str, text: str):
-    """key, kind, message: errors and warnings of compiler logs, line by line."""
-    lines = logs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "s"))
-    kind = F.when(F.startswith("s", F.lit("! ")) | F.col("s").rlike(r"^l\.[0-9]+|(?i)fatal error|emergency stop"), "error").when(F.col("s").rlike(r"(?i)^(?:(?:la|pdf)tex (?:\w+ )?warning|package \S+ warning|(?:over|under)full \\[hv]box)"), "warning")
-    return lines.withColumn("kind", kind).filter("kind is not null").select(key, "line", "kind", F.col("s").alias("message"))
+    """key, kind, place, message of compiler logs: marked errors in their order, the first of each other kind of error that is not among them, then warnings by kind."""
+    every = lambda p: F.transform(F.regexp_extract_all(F.col(text), F.lit("(?dm)" + p), F.lit(1)), lambda m: F.regexp_replace(m, r"^\s+|\s+$", ""))
+    errors = every(r"^! (.+)$")
+    for p in LOG_ERRORS:
+        first = F.regexp_extract(F.col(text), f"(?dm)({p}.*?)$", 1)
+        errors = F.when((first != "") & ~F.array_contains(errors, first), F.array_append(errors, first)).otherwise(errors)
+    lists = F.array(F.struct(F.lit("error").alias("kind"), errors.alias("m")), F.struct(F.lit("warning").alias("kind"), F.concat(*map(every, LOG_WARNINGS)).alias("m")))
+    rows = logs.select(key, F.inline(lists))
+    return rows.select(key, "kind", F.posexplode("m").alias("place", "message"))

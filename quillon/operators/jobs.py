@@ -33,17 +33,21 @@ REPLACEMENTS = {" ": " ", " ": " ", "​": "", "‌": "", "‍": "", "⁠": "
 #: Metadata fields in their order, and the names they go by in bold.
 FIELDS = ("Company", "Role", "Location", "Salary", "Work Mode", "Job ID", "Source", "URL", "Clearance", "Date Posted")
 SYNONYMS = {"company": "Company", "role": "Role", "title": "Role", "position": "Role", "location": "Location", "salary": "Salary", "pay": "Salary", "compensation": "Salary", "source": "Source", "url": "URL", "link": "URL", "job id": "Job ID", "job_id": "Job ID", "requisition": "Job ID", "req id": "Job ID", "clearance": "Clearance", "security clearance": "Clearance", "work mode": "Work Mode", "remote": "Work Mode", "date posted": "Date Posted", "posted": "Date Posted"}
+#: Header, salary, place, work-mode and job-id patterns.
 BOLD_HEADER, HASH_HEADER = r"^\*\*([^*]+?):?\*\*", r"^#{1,4}\s+(.+?):?\s*$"
 SALARY = r"(?i)\$[\d,]+(?:\s*[-–—]\s*\$[\d,]+)?(?:\s*(?:per\s+)?(?:year|yr|annually|/yr))?"
 CITY_STATE = r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*),\s*([A-Z]{2})\b"
 WORK_MODE = r"(?i)\b(Remote|Hybrid|On-?site|In-?office)\b"
 JOB_IDS = (r"(?i)(?:Job\s*(?:ID|#|Number|Ref|Identification))\b[:\s]*([A-Z0-9_-]+)", r"(?i)(?:Position\s*(?:ID|#|Number))[:\s]*([A-Z0-9_-]+)")
+#: The states a place may name in full.
+US_STATES = ("Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut", "Delaware", "Florida", "Georgia", "Hawaii", "Idaho", "Illinois", "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota", "Mississippi", "Missouri", "Montana", "Nebraska", "Nevada", "New Hampshire", "New Jersey", "New Mexico", "New York", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Oregon", "Pennsylvania", "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas", "Utah", "Vermont", "Virginia", "Washington", "West Virginia", "Wisconsin", "Wyoming")
+CITY_STATE_FULL = r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*),\s*(" + "|".join(US_STATES) + r")\b"
 #: Identifier abbreviations.
 WORDS = {"Machine Learning": "ML", "Data Science": "DataSci", "Data Scientist": "DataSci", "Artificial Intelligence": "AI", "Infrastructure": "Infra", "Operations": "Ops", "Engineering": "Eng", "Engineer": "Eng", "Scientist": "Sci", "Research": "Res", "Developer": "Dev", "Software": "Soft"}
 SENIORITY = {"Senior": "Sen", "Sr.": "Sen", "Sr": "Sen", "Principal": "Prin", "Staff": "Staff", "Lead": "Lead", "Head": "Head", "Junior": "Jr", "Jr.": "Jr", "Mid": "Mid", "Chief": "Chief", "I": "I", "II": "II", "III": "III", "IV": "IV", "V": "V"}
 COMPANIES = {"Booz Allen Hamilton": "BAH", "Technology": "Tech", "Technologies": "Tech"}
 SUFFIXES = ("Inc", "LLC", "Corporation", "Corp")
-SOURCES = ("LI", "GH")
+SOURCES = {"LinkedIn": "LI", "Glassdoor": "GH"}
 
 
 @F.pandas_udf(StringType())
@@ -138,23 +142,86 @@ def first_match(text: Column, patterns: tuple[str, ...], group: int = 1) -> Colu
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
 
 
-def metadata(text: Column) -> Column:
-    """map of heuristic metadata: bold fields, overridden by salary, place, work mode and job id found in the text."""
-    place = F.nullif(F.regexp_extract(text, CITY_STATE, 0), F.lit(""))
-    found = {"Salary": first_match(text, (SALARY,), 0), "Location": place, "Work Mode": first_match(text, (WORK_MODE,)), "Job ID": first_match(text, JOB_IDS)}
-    extra = F.map_filter(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
-    return F.map_zip_with(bold_fields(text), extra, lambda _, a, b: F.coalesce(b, a))
+def _some(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def heading_role(text: Column) -> Column:
+    """What follows `# ` on the first such line among a text's first ten, else null."""
+    top = F.transform(F.slice(F.split(strip(text), "\n", -1), 1, 10), strip)
+    return strip(F.substr(F.try_element_at(F.filter(top, lambda x: F.startswith(x, F.lit("# "))), F.lit(1)), F.lit(3)))
+
+
+def work_mode(text: Column) -> Column:
+    """Remote, Hybrid or On-site by the first word that names one, else null."""
+    word = F.lower(F.regexp_extract(text, WORK_MODE, 1))
+    return F.when(word.isin("remote", "hybrid"), F.initcap(word)).when(word.isin("onsite", "on-site", "inoffice", "in-office"), "On-site")
+
+
+def place(text: Column) -> Column:
+    """City and state, the abbreviated form before the full one, joined by a comma and a blank."""
+    found = [F.concat_ws(", ", _some(F.regexp_extract(text, p, 1)), _some(F.regexp_extract(text, p, 2))) for p in (CITY_STATE, CITY_STATE_FULL)]
+    return F.coalesce(*map(_some, found))
+
+
+def metadata(text: Column, filename: Column | None = None) -> Column:
+    """map of heuristic metadata. Later ones win: file name, first heading, bold fields, then salary, place, work mode and job id found in the text."""
+
+    def layer(found: dict[str, Column]) -> Column:
+        entries = F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])
+        return F.map_filter(entries, lambda _, v: v.isNotNull() & (v != ""))
+
+    layers = [layer({"Role": heading_role(text)}), F.map_filter(bold_fields(text), lambda _, v: v != "")]
+    layers.append(layer({"Salary": first_match(text, (SALARY,), 0), "Location": place(text), "Work Mode": work_mode(text), "Job ID": first_match(text, JOB_IDS)}))
+    if filename is not None:
+        hints = filename_metadata(filename)
+        layers.insert(0, layer({"Company": hints["company"], "Job ID": hints["job_id"]}))
+    out = layers[0]
+    for top in layers[1:]:
+        out = F.map_zip_with(out, top, lambda _, a, b: F.coalesce(b, a))
+    return out
+
+
+def metadata_section(text: Column) -> Column:
+    """map field -> value of the `### Field` entries in a text's `## Metadata` section, under the fixed names whatever their case."""
+    own = F.regexp_extract(F.concat(F.lit("\n"), text, F.lit("\n")), r"(?s)\n## Metadata[ \t]*\n(.*?)(?=\n## |\z)", 1)
+    entry = r"(?s)(?:^|\n)### ([^\n]+)\n+(.*?)(?=\n### |\z)"
+    names = {f.lower(): f for f in FIELDS}
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    pairs = F.zip_with(F.regexp_extract_all(own, F.lit(entry), F.lit(1)), F.regexp_extract_all(own, F.lit(entry), F.lit(2)), lambda k, v: F.struct(F.try_element_at(table, F.lower(strip(k))).alias("k"), strip(v).alias("v")))
+    known = F.filter(pairs, lambda x: x["k"].isNotNull() & (x["v"] != ""))
+    keys = F.array_distinct(F.transform(known, lambda x: x["k"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(known, lambda x: x["k"] == k), -1)["v"])))
+
+
+def title(fields: Column, text: Column) -> Column:
+    """The Role, else the first line that is not blank, without its # and ** marks."""
+    first = F.try_element_at(F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != ""), F.lit(1))
+    return F.coalesce(F.try_element_at(fields, F.lit("Role")), strip(F.regexp_replace(first, r"^#+|\*\*", "")))
+
+
+def parse_job_text(jobs: DataFrame, job: str = "job_id", text: str = "text", filename: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(job, title, metadata; its sections with their archetype, boilerplate flag and qualification class) of raw texts."""
+    fields = metadata(F.col(text), None if filename is None else F.col(filename))
+    heads = jobs.withColumn("_m", fields).select(job, title(F.col("_m"), F.col(text)).alias("title"), F.col("_m").alias("metadata"))
+    flat = sections(jobs.select(job, flatten_subheaders(F.col(text)).alias(text)), job, text)
+    rows = qualification_class(flat, job, "ord", "name")
+    return heads, rows.withColumns({"archetype": archetype(F.col("name")), "boilerplate": is_boilerplate(F.col("name"))})
+
+
+def plain_text(rows: DataFrame, job: str, boilerplate: bool = True) -> DataFrame:
+    """job, text: contents of its sections in order, a blank line between them; without boilerplate sections if asked."""
+    kept = rows if boilerplate else rows.filter(~is_boilerplate(F.col("name")))
+    return kept.groupBy(job).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "\n\n").alias("text"))
 
 
 def filename_metadata(name: Column) -> Column:
-    """struct(role, company, job_id) of Role_Company[_id]; the last of three parts or more is an id if it has a digit and 4 to 30 characters."""
-    parts = F.split(name, "_", -1)
+    """struct(company, job_id) of Role_Company[_id][.ext], hyphens in the company as blanks; the last of three parts or more is an id if it has a digit and 4 to 30 characters."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=[^.])\.[^.]*$", ""), "_", -1)
     last = F.element_at(parts, -1)
     is_id = (F.size(parts) >= 3) & last.rlike(r"[0-9]") & F.char_length(last).between(4, 30)
-    body = F.when(is_id, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    company = F.when(F.size(body) >= 2, F.element_at(body, -1))
-    role = F.array_join(F.when(F.size(body) >= 2, F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body), " ")
-    return F.struct(role.alias("role"), company.alias("company"), F.when(is_id, last).alias("job_id"))
+    company = F.when(is_id, F.try_element_at(parts, F.lit(-2))).when(F.size(parts) >= 2, last)
+    return F.struct(F.replace(company, F.lit("-"), F.lit(" ")).alias("company"), F.when(is_id, last).alias("job_id"))
 
 
 def job_type(filename: Column) -> Column:
@@ -163,44 +230,53 @@ def job_type(filename: Column) -> Column:
     return F.when((F.size(parts) >= 3) & F.startswith(filename, F.lit("Res")), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "_")).otherwise("Unknown")
 
 
-def identifier(role: Column, company: Column) -> Column:
-    """Seniority, focus and abbreviated role, then the company: Sen_Focus_Role_Company without the parts that are missing."""
-    level, rest = F.lit(None).cast("string"), role
-    for word, short in reversed(SENIORITY.items()):
-        hit = F.startswith(role, F.lit(word + " "))
-        level, rest = F.when(hit, F.lit(short)).otherwise(level), F.when(hit, F.substr(role, F.lit(len(word) + 2))).otherwise(rest)
-    focus = F.regexp_extract(rest, r"(?: [-–—] |, ?)(.+)$", 1)
-    main = F.regexp_replace(F.regexp_replace(rest, r"(?: [-–—] |,).*$", ""), r"/.*$", "")
-
-    def short(c: Column) -> Column:
-        for word, to in WORDS.items():
-            c = F.replace(c, F.lit(word), F.lit(to))
-        return F.regexp_replace(c, r"[\s-]", "")
+def identifier(role: Column, company: Column, seniority: Column | None = None, focus: Column | None = None, source: Column | None = None, job_id: Column | None = None) -> Column:
+    """Title_Seniority_Focus_Company_Source_Id without the parts that are missing; null without a role or company.
 
-    firm = F.lit(None).cast("string")
-    for name, to in COMPANIES.items():
-        firm = F.when(company == name, F.lit(to)).otherwise(firm)
-    bare = F.regexp_replace(F.regexp_replace(company, r"[,.\-']", ""), r"\b(?:" + "|".join(SUFFIXES) + r")\b", "")
-    return F.concat_ws("_", level, F.nullif(short(focus), F.lit("")), F.nullif(short(main), F.lit("")), F.coalesce(firm, F.regexp_replace(bare, r"\s", "")))
+    Seniority and focus come from the role where they are not given: a known
+    word at its start, and what follows its first comma or spaced dash.
+    """
+    level, rest = F.lit(None).cast("string"), strip(role)
+    for word, short in reversed(SENIORITY.items()):
+        hit = F.startswith(strip(role), F.lit(word + " ")) | F.startswith(strip(role), F.lit(word + ","))
+        level, rest = F.when(hit, F.lit(short)).otherwise(level), F.when(hit, F.regexp_replace(F.substr(strip(role), F.lit(len(word) + 1)), "^[ ,]+", "")).otherwise(rest)
+    halves = F.split(rest, r"\s+[-–—]\s+|,\s*", 2)
+    main, own_focus = strip(F.element_at(halves, 1)), F.when(F.size(halves) == 2, strip(F.element_at(halves, -1)))
+    # Of alternatives joined by slashes the first stays, with the words that follow the last.
+    main = F.coalesce(F.concat(F.regexp_extract(main, "^[^/]*", 0), F.lit(" "), _some(F.regexp_extract(main, r"/[^/\s]*\s+([^/]*)$", 1))), main)
+    for word, to in WORDS.items():
+        main = F.replace(main, F.lit(word), F.lit(to))
+    bare = F.regexp_replace(company, r"[,.\-']", "")
+    for suffix in SUFFIXES:
+        bare = F.regexp_replace(bare, rf"\s+{suffix}$", "")
+    known, sites = (F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) for table in (COMPANIES, SOURCES))
+    firm = F.coalesce(F.try_element_at(known, company), F.replace(bare, F.lit(" "), F.lit("")))
+    given = lambda c: F.lit(None).cast("string") if c is None else _some(c)
+    parts = [F.regexp_replace(main, "[ -]", ""), F.coalesce(given(seniority), level), F.coalesce(given(focus), _some(own_focus)), firm, F.coalesce(F.try_element_at(sites, given(source)), given(source)), given(job_id)]
+    return F.when(_some(role).isNotNull() & _some(company).isNotNull(), F.concat_ws("_", *parts))
 
 
 def parse_identifier(c: Column) -> Column:
-    """struct(title, company, seniority, focus, source, job_id), peeled from the end; of two parts the last counts as job id."""
+    """struct(title, company, seniority, focus, source, job_id).
+
+    The first part is the title, the last the job id; before that a known source
+    and the company are peeled off the end. Between title and company, the last
+    known seniority and the last other part count.
+    """
     parts = F.split(c, "_", -1)
-    last = F.element_at(parts, -1)
-    is_id = (F.size(parts) == 2) | ((F.size(parts) > 2) & last.rlike(r"[0-9]") & F.char_length(last).between(4, 30))
-    body = F.when(is_id, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    is_source = (F.size(body) > 1) & F.element_at(body, -1).isin(*SOURCES)
-    source = F.when(is_source, F.element_at(body, -1)).otherwise("")
-    body = F.when(is_source, F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
-    has_company = F.size(body) > 1
-    company = F.when(has_company, F.element_at(body, -1)).otherwise("")
-    body = F.when(has_company, F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
-    is_level = (F.size(body) > 1) & F.element_at(body, 1).isin(*dict.fromkeys(SENIORITY.values()))
-    level = F.when(is_level, F.element_at(body, 1)).otherwise("")
-    body = F.when(is_level, F.slice(body, F.lit(2), F.size(body))).otherwise(body)
-    focus = F.when(F.size(body) > 1, F.array_join(F.slice(body, F.lit(1), F.size(body) - 1), "_")).otherwise("")
-    return F.struct(F.element_at(body, -1).alias("title"), company.alias("company"), level.alias("seniority"), focus.alias("focus"), source.alias("source"), F.when(is_id, last).otherwise("").alias("job_id"))
+    take = lambda array, size: F.slice(array, F.lit(1), size)
+    several = lambda array: F.size(array) > 1
+    less = lambda array, has: F.when(has, take(array, F.size(array) - 1)).otherwise(array)
+    tail = lambda array, has: F.when(has, F.element_at(array, -1)).otherwise("")
+    body, job_id = less(parts, several(parts)), tail(parts, several(parts))
+    is_source = several(body) & F.element_at(body, -1).isin(*SOURCES.values())
+    body, source = less(body, is_source), tail(body, is_source)
+    middle, company = less(body, several(body)), tail(body, several(body))
+    inner = F.slice(middle, F.lit(2), F.size(middle))
+    levels = F.array(*map(F.lit, dict.fromkeys(SENIORITY.values())))
+    last = lambda array: F.coalesce(F.try_element_at(array, F.lit(-1)), F.lit(""))
+    level, focus = last(F.filter(inner, lambda x: F.array_contains(levels, x))), last(F.filter(inner, lambda x: ~F.array_contains(levels, x)))
+    return F.struct(F.element_at(parts, 1).alias("title"), company.alias("company"), level.alias("seniority"), focus.alias("focus"), source.alias("source"), job_id.alias("job_id"))
 
 
 def bullets(rows: DataFrame, key: str, content: str) -> DataFrame:

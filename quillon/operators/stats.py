@@ -93,3 +93,8 @@ def field_values(rows: DataFrame, fields: Column) -> DataFrame:
 def validation_summary(results: DataFrame, passed: Column, failed: Column, diffs: Column) -> DataFrame:
     """One row: total, passed, failed, perfect (no differences), differences and pass rate."""
     return results.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.count_if(failed).alias("failed"), F.count_if(diffs == 0).alias("perfect"), F.sum(diffs).cast("long").alias("diffs"), F.round(100.0 * F.count_if(passed) / F.count("*"), 1).alias("pass_rate"))
+
+
+def sorted_counts(rows: DataFrame, key: str) -> DataFrame:
+    """key, n by key."""
+    return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).orderBy("key")

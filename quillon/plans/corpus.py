@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import Tokenizer
+from ..functions.tokens import Tokenizer, grams
 from ..operators import items, jobs, stats, windows
 from .catalog import query
 
@@ -209,14 +209,13 @@ def tokens_document_frequency(spark, sf_dir):
 
 @query("token_bigrams", f"SELECT l[i] || '_' || l[i + 1] AS bigram, count(*) AS n FROM (SELECT l, unnest(range(1, len(l))) AS i FROM (SELECT list_filter({_TOKENS}, lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')) AS l FROM documents)) GROUP BY 1")
 def token_bigrams(spark, sf_dir):
-    tokens = Tokenizer(ngrams=2)(F.col("text"))
-    rows = _read(spark, sf_dir, "documents").select(F.explode(tokens).alias("bigram"))
-    return rows.filter(F.contains("bigram", F.lit("_"))).groupBy("bigram").agg(F.count("*").alias("n"))
+    bigrams = grams(Tokenizer(stopwords=())(F.col("text")), 2)
+    return _read(spark, sf_dir, "documents").select(F.explode(bigrams).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 @query("phrase_normalise", "SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])(?i:of the)($|[^\\p{L}\\p{N}_])', '\\1of_the\\2', 'g'), '(^|[^\\p{L}\\p{N}_])(?i:und die)($|[^\\p{L}\\p{N}_])', '\\1und_die\\2', 'g') AS text FROM documents")
 def phrase_normalise(spark, sf_dir):
-    tokenizer = Tokenizer(phrases={"of the": "of_the", "und die": "und_die"})
+    tokenizer = Tokenizer(stopwords=(), phrases={"of the": "of_the", "und die": "und_die"})
     return _read(spark, sf_dir, "documents").select("doc_id", tokenizer.normalised(F.col("text")).alias("text"))
 
 

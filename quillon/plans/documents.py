@@ -22,7 +22,7 @@ def nfkc_normalise(spark, sf_dir):
 
 @query("porter_stems")
 def porter_stems(spark, sf_dir):
-    tokens = Tokenizer(stem=True)(F.col("text"))
+    tokens = Tokenizer(stopwords=(), stem=True)(F.col("text"))
     return _read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(F.array_distinct(tokens)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n_docs"))
 
 
@@ -32,8 +32,8 @@ def line_diffs(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    pairs = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "text", F.lead("text").over(w).alias("following")).filter("following is not null and pair is not null")
-    return compare.diff_counts(pairs, "pair", "text", "following")
+    pairs = _read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn", F.row_number().over(w).alias("place")).alias("pair"), "text", F.lead("text").over(w).alias("following")).filter("following is not null and pair.conv_id is not null and pair.turn is not null")
+    return compare.diff_counts(pairs.withColumn("pair", F.to_json("pair")), "pair", "text", "following")
 
 
 @query("extraction_ops")

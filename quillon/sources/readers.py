@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY_SCHEMA = "resume_name string, resume_type string, status string, last_updated string"
+#: Columns of the job registry.
 JOB_REGISTRY_COLUMNS = ("Job Identifier", "Company", "Role", "Location", "Salary", "Work Mode", "Job ID", "Source", "URL", "Clearance", "List Date")
 
 

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from quillon.plans import catalog, corpus, documents, logs  # noqa: F401
+from quillon.plans import catalog, corpus, documents, logs, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -104,7 +104,7 @@ def test_jobs(spark):
         jobs.metadata(F.lit("**Company:** Acme\n**Title:** Eng\nPay $100,000 - $120,000 per year in Austin, TX. Remote. Job ID: R-77")).alias("m"), jobs.normalise_unicode(F.lit("ﬁne — “x”​")).alias("n"), jobs.filename_metadata(F.lit("Eng_Acme_R1234")).alias("f"),
     ).first()
     assert one.a == "required_qualifications" and one.b and (one.p.title, one.p.job_id, one.p.company) == ("MLEng", "AcmeCorp", "") and (one.t, one.u) == ("MLOps", "Unknown")
-    assert one.i == "Sen_Vision_MLEng_Acme" and one.n == 'fine -- "x"' and (one.f.role, one.f.company, one.f.job_id) == ("Eng", "Acme", "R1234")
+    assert one.i == "MLEng_Sen_Vision_Acme" and one.n == 'fine -- "x"' and (one.f.company, one.f.job_id) == ("Acme", "R1234")
     assert one.m == {"Company": "Acme", "Role": "Eng", "Salary": "$100,000 - $120,000 per year", "Location": "Austin, TX", "Work Mode": "Remote", "Job ID": "R-77"}
 
 
@@ -115,7 +115,8 @@ def test_text_and_tokens(spark, tmp_path):
     tokenizer = Tokenizer(phrases={"machine learning": "ml"}, stopwords=("is",), ngrams=2)
     assert [r.x for r in docs.orderBy("o").select(tokenizer(F.col("t")).alias("x")).collect()] == [["ml", "useful", "ml_useful"], ["one"], []]
     assert [porter(w) for w in ("caresses", "ponies", "relational", "hopping", "adjustable", "sky")] == ["caress", "poni", "relat", "hop", "adjust", "sky"]
-    assert docs.filter("o = 0").select(Tokenizer(stem=True)(F.col("t")).alias("x")).first().x == ["machin", "learn", "is", "us"]
+    assert docs.filter("o = 0").select(Tokenizer(stem=True)(F.col("t")).alias("x")).first().x == ["machin", "learn", "us"]
+    assert docs.filter("o = 0").select(Tokenizer(stopwords=(), verbs=("learn",), nouns=("machine",))(F.lit("Machines learned learning is")).alias("x")).first().x == ["machine", "learn", "learn", "is"]
     store = CorpusStore(spark, str(tmp_path))
     key = store.save(docs, tokenizer, "t", "o")
     store.save(docs, Tokenizer(), "t", "o")
@@ -146,8 +147,8 @@ def test_extraction(spark):
     assert latex.to_plaintext(r"\centering \textbf{Bold \emph{x}}\par {A} \{b\} 1 $\to$ 2 a---b \$5") == "Bold xA {b} 1 to 2 a—b 5"
     with pytest.raises(ValueError):
         latex.closing("{a\\}", 0)
-    kinds = spark.createDataFrame([("a | b", "x"), (r"\begin{itemizeAcademic}", "x"), ("", "x")], "c string, r string").select(infer_section_type(F.col("c"), F.col("r")).alias("k"))
-    assert [r.k for r in kinds.collect()] == ["skill_list_pipes", "work_history", "unknown"]
+    kinds = spark.createDataFrame([("a | b", "x"), (r"\begin{itemizeAcademic}", "x"), ("", "x"), (r"\begin{itemizeLL}", "left_column"), (r"\begin{itemize} \item a", "main_column"), (r"\begin{itemizeLL}", "main_column"), (r"\begin{itemize} University", "x"), (r"\begin{itemize}\item[x] a \begin{itemizeLL}", "x"), (r"\setlength\baselineskip\scshape", "x"), (r"\begin{itemizeProjMain}", "x")], "c string, r string").select(infer_section_type(F.col("c"), F.col("r")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["skill_list_pipes", "work_history", "unknown", "personality_alias_array", "custom_itemize", "simple_list", "education", "skill_categories", "skill_list_caps", "projects"]
 
 
 def test_compare_layout_reports(spark):
