@@ -98,6 +98,11 @@ def replace_command(text: str, command: str, prefix: str = "", suffix: str = "")
     return "".join([*out, text[at:]])
 
 
+def pattern_literal(pattern: str) -> str:
+    """The text that a pattern of escaped characters alone stands for."""
+    return re.sub(r"\\(.)", r"\1", pattern)
+
+
 def to_plaintext(latex: str | None, strip_params: bool = True) -> str:
     r"""Text without markup, by ordered rewriting.
 

@@ -71,3 +71,9 @@ def count_new_fields(before, after) -> int:
         old = before if isinstance(before, list) else []
         return sum(count_new_fields(old[k] if k < len(old) else None, v) for k, v in enumerate(after))
     return 0
+
+
+def document_diff(before: dict, after: dict, context: int = 3) -> tuple[list[str], int]:
+    """`meaningful_diff` of two nested documents, written with sorted keys, a value a line."""
+    a, b = (json.dumps(d, sort_keys=True, indent=1, ensure_ascii=False) for d in (before, after))
+    return meaningful_diff(a, b, context)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import latex
 from ..functions import text as T
 from ..functions.tokens import CorpusStore, Tokenizer
-from ..operators import compare, documents, items, jobs, layout, records, stats
+from ..operators import compare, conversion, documents, items, jobs, layout, records, stats
 from ..operators.extraction import infer_section_type, log_messages
 from .catalog import query
 
@@ -465,3 +465,30 @@ _REPLIES = [('```json\n{"a": "x", "b": "None"}\n```', "x", None), ('Sure: {"a":
 def model_replies(spark, sf_dir):
     rows = _dealt(spark, sf_dir, [r[:1] for r in _REPLIES], "r").withColumn("m", documents.parse_reply(F.col("r")))
     return rows.select("p_partkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("a", "b")])
+
+
+def _tex(spark, sf_dir):
+    """Conversations written as LaTeX documents: a turn is a list of pipes, an itemize or a job, by its place."""
+    rows = _sections(spark, sf_dir).filter("resume_ord is not null")
+    body = F.coalesce(F.try_element_at("items", F.lit(2)), F.col("subsections")[0]["items"][0])
+    shown = T.to_latex(F.regexp_replace(body, r"[\\{}\[\]]", ""))
+    shape = F.col("section_ord") % 3
+    listed = F.concat(F.lit("\\begin{itemize}\n\\item "), shown, F.lit("\n\\end{itemize}"))
+    job = F.concat(F.lit("\\begin{itemizeAcademic}{C}{T \\\\ S}{L}{D}\n\\itemi "), shown, F.lit("\n\\begin{itemizeKeyProject}{s}{P}{d}\n\\itemii x \\itemii y\n\\end{itemizeKeyProject}\n\\end{itemizeAcademic}"))
+    tex = F.concat(F.lit("\\section*{"), "section_name", F.lit("}\n"), F.when(shape == 0, F.concat(F.lit("A | "), shown)).when(shape == 1, listed).otherwise(job))
+    parts = rows.groupBy("resume_ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_ord", tex.alias("t")))), lambda x: x["t"]), "\n\n").alias("t"))
+    return parts.select(F.col("resume_ord").alias("conv_id"), F.concat(F.lit("\\renewcommand{\\name}{N {x}}\n\\begin{document}\n\\switchcolumn\n"), "t", F.lit("\n\\end{document}\n")).alias("tex"))
+
+
+@query("document_roundtrip", f"SELECT conv_id, CAST(NULL AS VARCHAR) AS error, TRUE AS same, 1 AS n_pages, CAST(count(*) AS INTEGER) AS n_sections FROM {_PLACED} GROUP BY conv_id")
+def document_roundtrip(spark, sf_dir):
+    """LaTeX parsed, written and parsed again."""
+    return conversion.round_trip(_tex(spark, sf_dir), "conv_id", "tex")
+
+
+@query("document_types", f"SELECT conv_id, place, 'Turn ' || place AS name, CASE place % 3 WHEN 0 THEN 'skill_list_pipes' WHEN 1 THEN 'custom_itemize' ELSE 'work_history' END AS kind FROM {_PLACED}")
+def document_types(spark, sf_dir):
+    """Types and names of the sections of parsed LaTeX."""
+    parsed = _tex(spark, sf_dir).select("conv_id", conversion.read_column("tex").alias("j"))
+    kinds = F.from_json(F.get_json_object("j", "$.document.pages[0].regions.main_column.sections"), "array<struct<type:string,metadata:struct<name:string>>>")
+    return parsed.select("conv_id", F.posexplode(kinds).alias("place", "s")).select("conv_id", F.col("place").cast("long").alias("place"), "s.metadata.name", F.col("s.type").alias("kind"))

@@ -119,3 +119,38 @@ def apply_presets(config: dict, table: dict[str, dict], names: list[str]) -> dic
             raise ValueError(f"unknown preset {n}")
         out |= table[n]
     return out
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def ensure_registry(spark: SparkSession, path: str, schema: str = REGISTRY_SCHEMA) -> DataFrame:
+    """The CSV registry at `path`; an empty one is written first where there is none."""
+    if not _there(spark, path):
+        spark.createDataFrame([], schema).write.csv(path, header=True)
+    return spark.read.csv(path, schema=schema, header=True)
+
+
+def write_reconstruction(registry_rows: DataFrame, path: str) -> None:
+    """A registry rebuilt from its log, as CSV; FileExistsError where something is already there."""
+    if _there(registry_rows.sparkSession, path):
+        raise FileExistsError(path)
+    registry_rows.coalesce(1).write.mode("error").csv(path, header=True)
+
+
+def find_text(rows: DataFrame, name: str) -> DataFrame:
+    """The row of `texts` with the stem `name`, else the first by name that equals it but for case, or none."""
+    own = rows.filter(F.lower("name") == name.lower())
+    return own.orderBy(F.col("name") != name, "name").limit(1)
+
+
+def write_yaml(documents: DataFrame, json_column: str):
+    """`documents` with column yaml: the JSON column as YAML text that ends in one line break."""
+    import yaml
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else yaml.safe_dump(json.loads(t), sort_keys=False, allow_unicode=True).rstrip() + "\n")
+
+    return documents.withColumn("yaml", F.pandas_udf(run, "string")(json_column))

@@ -182,6 +182,23 @@ def test_readers(spark, tmp_path):
     assert rows(readers.notebook_cells(spark, str(tmp_path / "n.ipynb")), "cell", "source") == [(0, "a\nb")]
 
 
+def test_registry_files_and_texts(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    assert readers.ensure_registry(spark, path).count() == 0 and readers.ensure_registry(spark, path).columns[0] == "resume_name"
+    table = spark.createDataFrame([("a", "historical", "raw", "t")], readers.REGISTRY_SCHEMA)
+    readers.write_reconstruction(table, str(tmp_path / "deduced"))
+    assert readers.registry(spark, str(tmp_path / "deduced")).collect() == table.collect()
+    with pytest.raises(FileExistsError):
+        readers.write_reconstruction(table, str(tmp_path / "deduced"))
+    for name in ("Job.md", "job.md", "Other.md"):
+        (tmp_path / name).write_text(name)
+    found = readers.texts(spark, str(tmp_path / "*.md"))
+    assert [readers.find_text(found, n).first().text for n in ("job", "JOB", "other")] == ["job.md", "Job.md", "Other.md"] and readers.find_text(found, "none").count() == 0
+    out = readers.write_yaml(spark.createDataFrame([('{"b": [1, "é"], "a": null}',), (None,)], "j string"), "j").collect()
+    assert out[0].yaml == "b:\n- 1\n- é\na: null\n" and out[1].yaml is None
+    assert compare.document_diff({"a": 1, "b": [1, 2]}, {"b": [1, 3], "a": 1})[1] == 2 and latex.pattern_literal(r"\\begin\{paracol\}\{2\}") == r"\begin{paracol}{2}"
+
+
 def test_stream(spark, tmp_path):
     t = dt.datetime(2026, 1, 1)
     spark.createDataFrame([("a", t, "registration", "raw"), ("a", t + dt.timedelta(hours=1), "status_change", "parsed"), ("b", t, "registration", "raw")], "resume_name string, ts timestamp, event_type string, status string").write.parquet(str(tmp_path / "in"))
