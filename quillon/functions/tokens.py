@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+#: So many stop words at most are part of the word pattern; more are looked up.
+PATTERN_STOPWORDS = 16
 EDGE_BEFORE, EDGE_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -48,9 +50,16 @@ class Tokenizer:
 
     def __call__(self, text: Column) -> Column:
         """array<string> of tokens; null text has none."""
-        words = F.transform(F.regexp_extract_all(self.normalised(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), F.lower)
         stop = default_stopwords(SparkSession.active()) if self.stopwords is None else self.stopwords
-        if stop:
+        plain = not (self.verbs or self.nouns or self.stem or self.equivalents)
+        # Where nothing rewrites words, the pattern itself leaves out short words, numbers and a few stop words.
+        least = self.min_length if plain else 1
+        skipped = [r"\p{N}+"] if plain and self.min_length > 0 else []
+        short = list(map(re.escape, stop)) if len(stop) <= PATTERN_STOPWORDS else []
+        unwanted = f"(?!(?:{'|'.join(skipped + short)}){EDGE_AFTER})" if skipped or short else ""
+        word = f"{EDGE_BEFORE}{unwanted}{WORD[:-1]}{{{max(1, least)},}}"
+        words = F.regexp_extract_all(F.lower(self.normalised(F.coalesce(text, F.lit("")))), F.lit(word), F.lit(0))
+        if stop and not short:
             table = F.create_map(*[x for w in dict.fromkeys(stop) for x in (F.lit(w), F.lit(True))])
             words = F.filter(words, lambda w: ~F.map_contains_key(table, w))
         if self.verbs or self.nouns:
@@ -60,7 +69,7 @@ class Tokenizer:
         if self.equivalents:
             table = F.create_map(*[F.lit(x) for kv in self.equivalents.items() for x in kv])
             words = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
-        if self.min_length > 0:
+        if self.min_length > 0 and not plain:
             words = F.filter(words, lambda w: (F.char_length(w) >= self.min_length) & ~w.rlike(r"^\p{N}+$"))
         if self.ngrams < 2:
             return words

@@ -31,10 +31,13 @@ def co_occurrence(rows: DataFrame, doc: str, position: str, name: str) -> DataFr
 
 
 def top_partners(pairs: DataFrame, names: int, partners: int) -> DataFrame:
-    """The most frequent names and, for each, its most frequent partners; ties by name."""
-    total = pairs.groupBy("name_a").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "name_a").limit(names)
-    place = F.row_number().over(Window.partitionBy("name_a").orderBy(F.desc("n"), "name_b"))
-    return pairs.join(F.broadcast(total), "name_a").withColumn("place", place.cast("long")).filter(F.col("place") <= partners)
+    """The most frequent names and, for each, its most frequent partners; ties by name. One pass over the pairs."""
+    own = Window.partitionBy("name_a")
+    ranked = pairs.withColumns({"total": F.sum("n").over(own), "place": F.row_number().over(own.orderBy(F.desc("n"), "name_b")).cast("long")})
+    order = [F.desc("total"), "name_a"]
+    # A name has at most `partners` rows, so the first names' rows are among so many.
+    head = ranked.filter(F.col("place") <= partners).orderBy(*order, "place").limit(names * partners)
+    return head.withColumn("_r", F.dense_rank().over(Window.orderBy(*order))).filter(F.col("_r") <= names).drop("_r")
 
 
 def title_components(titles: DataFrame, doc: str, title: str, separator: str) -> DataFrame:

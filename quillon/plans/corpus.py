@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tokens import Tokenizer, grams
 from ..operators import items, jobs, stats, windows
+from ..session import spread
 from .catalog import query
 
 KEYWORDS = ("the", "onre", "und", "que", "Zebra-Unseen", "$")
@@ -16,7 +17,8 @@ _TOKENS = f"regexp_extract_all(lower(text), '{_WORDS}')"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table == "documents" else rows
 
 
 def _words(docs: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ from ..functions import latex
 from ..functions.tokens import Tokenizer
 from ..operators import compare, documents, jobs, layout
 from ..operators.extraction import Extractor, infer_section_type
+from ..session import spread
 from .catalog import query
 
 
 def _read(spark, sf_dir, table):
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table == "documents" else rows
 
 
 @query("nfkc_normalise")

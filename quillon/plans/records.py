@@ -12,11 +12,13 @@ from ..functions import text as T
 from ..functions.tokens import CorpusStore, Tokenizer
 from ..operators import compare, conversion, documents, items, jobs, layout, records, stats
 from ..operators.extraction import infer_section_type, log_messages
+from ..session import spread
 from .catalog import query
 
 
 def _read(spark, sf_dir, table):
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table == "documents" else rows
 
 
 def _sql(value) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -15,3 +15,9 @@ def session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) ->
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt to all cores where its files give fewer splits than that; a table of many splits is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < rows.rdd.getNumPartitions() < cores else rows
