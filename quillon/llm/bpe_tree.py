@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .pretok import PieceTable
 from .textblocks import chunks, column, small_batches
 
@@ -183,4 +184,4 @@ def decode(tokens: DataFrame, ids: str = "ids", key: str = "doc_id", vocabulary:
 
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), digests=True)

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .eliasfano import TrieShard
 from .textblocks import batch_rows, chunks, column, crc_remainder, give_back, hash_spans, mix, small_batches, stored, word_spans
 
@@ -400,6 +401,6 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
 
 
 def op9_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_remainder("doc_id", 7) != 2).alias("train"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", (crc_remainder("doc_id", 7) != 2).alias("train"))
     rows = score(docs)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .components import components
 from .textblocks import _MULTIPLIERS, chunks, column, discard, hash_bitmap, hash_spans, in_bitmap, mix, small_batches, stored, windows, word_spans
 
@@ -303,4 +304,4 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width
 
 def op5_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's rows for `documents`, by `near_duplicates` with four-word shingles and a similarity of 0.8."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bpe_tree import vocabulary_path
 from .pretok import PieceTable
 from .textblocks import chunks, column, small_batches, stored
@@ -245,4 +246,4 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
 
 
 def op10_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

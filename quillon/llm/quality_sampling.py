@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .sampling import labelled_sample
 from .textblocks import chunks, column, hash_spans, rows_of, small_batches, stored, windows, word_spans
 
@@ -152,4 +153,5 @@ def cut(scored: DataFrame, part: float) -> float:
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, log_weight, gumbel_key and selected for `documents`, by `resample`."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = spread(docs)
     return resample(docs, fitted(docs, labels), share(labels))

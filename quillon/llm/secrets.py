@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs that end where the class ends: a length bound in the pattern equals a filter on the greedy match.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -26,8 +28,6 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}"
 MIXED = ("[A-Z]", "[a-z]", "[0-9]")
 ENDPOINT = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]+"
 SCOPE_BREAK = r"\n[\x20\t\r]*\n"
-#: Code points between two parts of one credential at most.
-REACH = 400
 MASK = "[SECRET]"
 
 
@@ -75,10 +75,11 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return found.drop(*[f"_{a}{k}" for a in "ms" for k in range(3)], "_v")
 
 
-def linked_spans(docs: DataFrame, key: list[str], text: str) -> DataFrame:
+def linked_spans(docs: DataFrame, key: list[str], text: str, reach: int | None = None) -> DataFrame:
     """key and weak: the weak spans that complementary parts confirm (documents without any are absent).
 
-    An identifier needs a secret within reach, a secret candidate an identifier
+    `reach` is the most code points between two parts of one credential (null: any
+    distance within the scope). An identifier needs a secret within reach, a secret candidate an identifier
     or endpoint, an endpoint an identifier and a secret. Strong spans count as
     company: access ids as identifiers, assignments as secrets.
     """
@@ -102,25 +103,26 @@ def linked_spans(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     for name, has in role.items():
         before = F.col("start") - F.max(F.when(has, F.col("end"))).over(ahead)
         after = F.min(F.when(has, F.col("start"))).over(behind) - F.col("end")
-        near[f"_{name}"] = F.coalesce(F.least(before, after) <= REACH, F.lit(False))
+        nearest = F.least(before, after)
+        near[f"_{name}"] = nearest.isNotNull() if reach is None else F.coalesce(nearest <= reach, F.lit(False))
     joined = rows.withColumns(near)
     confirmed = ((F.col("kind") == 3) & F.col("_secret")) | ((F.col("kind") == 4) & (F.col("_identifier") | F.col("_endpoint"))) | ((F.col("kind") == 5) & F.col("_identifier") & F.col("_secret"))
     span = F.struct((F.col("start") + F.col("base_at")).alias("start"), "kind", (F.col("end") + F.col("base_at")).alias("end"))
     return joined.filter(confirmed).groupBy(*key).agg(F.collect_set(span).alias("weak"))
 
 
-def _scanned(docs: DataFrame, text: str, key: str, keep: list[str]) -> DataFrame:
+def _scanned(docs: DataFrame, text: str, key: str, keep: list[str], reach: int | None = None) -> DataFrame:
     """_k, base, spans, and the columns of `keep` as _keep0, _keep1 ..."""
     own = docs.select(docs[key].alias("_k"), F.coalesce(docs[text], F.lit("")).alias("_t"), *[docs[c].alias(f"_keep{n}") for n, c in enumerate(keep)]).withColumn("_h", F.xxhash64("_t"))
     strong = base_spans(own, "_t").drop("_t")
-    weak = linked_spans(own, ["_k", "_h"], "_t").withColumnsRenamed({"_k": "_k2", "_h": "_h2"})
+    weak = linked_spans(own, ["_k", "_h"], "_t", reach).withColumnsRenamed({"_k": "_k2", "_h": "_h2"})
     both = strong.join(weak, (F.col("_h") == F.col("_h2")) & F.col("_k").eqNullSafe(F.col("_k2")), "left")
     fresh = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     spans = F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", fresh)))
     return both.select("_k", "base", spans.alias("spans"), *[f"_keep{n}" for n in range(len(keep))])
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int | None = None) -> DataFrame:
     """key, base, spans (arrays of start, kind, end) of every document.
 
     Null text counts as empty. A weak span that overlaps a strong one of the
@@ -128,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     repeat a key with other text are told apart; identical rows get equal
     results. An empty table gives an empty result; extra columns are dropped.
     """
-    return _scanned(docs, text, key, []).withColumnRenamed("_k", key)
+    return _scanned(docs, text, key, [], reach).withColumnRenamed("_k", key)
 
 
 def _written(spans: Column) -> Column:
@@ -169,6 +171,6 @@ def _is(kind: int):
 
 
 def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     counts = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))

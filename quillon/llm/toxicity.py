@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .sampling import labelled_sample
 from .textblocks import LOWER_BYTE, chunks, code_points, column, crc_remainder, mix, rows_of, small_batches
 
@@ -168,7 +169,7 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: bool = False) -> Model:
 
 def op2_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted. Null and empty texts score as the bias alone; repeated rows repeat."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=True)
     scored = docs.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

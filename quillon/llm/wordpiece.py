@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bpe_tree import vocabulary_path
 from .pretok import distinct_spans
 from .textblocks import LOWER_BYTE, chunks, small_batches, sum_by_row, word_spans
@@ -145,4 +146,4 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab
 
 
 def op8_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -69,3 +69,31 @@ def test_query_rows(spark):
     back = bpe_tree.decode(bpe_tree.encode(docs)).collect()
     assert len(back) == len(rows) and all(bytes(r.bytes).decode() == (dict(rows)[r.doc_id] or "") for r in back)
     assert bpe_tree.encode(docs.limit(0), digests=True).count() == 0
+
+
+def thue_morse(n=11):
+    """Two different strings of 2**(n + 1) letters that polynomial hashes modulo a power of two cannot tell apart."""
+    a, b = "ab", "ba"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_pieces_with_equal_polynomial_hashes_and_long_texts(spark):
+    a, b = thue_morse()
+    long = " ".join(f"w{i % 997}é" for i in range(200_000))  # beyond a chunk
+    texts = [a, b, f"{a} {b}", f"{b} {a}", long, None]
+    assert tokens([t or "" for t in texts]) == [OWN.encode_ordinary(t or "") for t in texts]
+    docs = spark.createDataFrame([(None if k < 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted((len(ids := OWN.encode_ordinary(t or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for t in texts)
+    assert sorted(tuple(r)[1:] for r in bpe_tree.encode(docs, digests=True).collect()) == want
+
+
+def test_generations_keep_pieces_apart():
+    from quillon.llm.pretok import PieceTable
+
+    table = PieceTable(encoder()[0].encode_pieces, limit=5)
+    for text in ["one two three four five six seven", "eight nine one", "two ten one", "one one eleven twelve thirteen fourteen"] * 3:
+        buf, offsets = flat(pa.array([text]))
+        assert table.tokens(buf, offsets)[0].tolist() == OWN.encode_ordinary(text)
+    assert len(table.young.index) + len(table.old.index) < 30

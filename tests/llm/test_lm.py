@@ -76,20 +76,22 @@ def test_probabilities_against_brute_force(spark):
 
 
 def brute_scores(texts, train, order, cut=0.9):
-    """Interpolated scores with one discount (every count is three or more)."""
+    """Interpolated scores with one discount, or those of the module (cut None)."""
+    off = lambda n: lm.DISCOUNTS[min(n, 3)] if cut is None else cut
     tokens = {d: [1, *t.split(), None] for d, t in texts.items()}  # 1 is the start
     grams = Counter(tuple(x[i - k + 1 : i + 1]) for d, x in tokens.items() if d in train for k in range(1, order + 1) for i in range(max(1, k - 1), len(x)))
-    total, kinds = Counter(), Counter()
+    total, kinds, mass = Counter(), Counter(), Counter()
     for g, n in grams.items():
         total[g[:-1]] += n
         kinds[g[:-1]] += 1
+        mass[g[:-1]] += off(n)
 
     def p(g):
         if len(g) == 1:
             return (grams[g] + 1) / (total[()] + kinds[()] + 1)
         if not total[g[:-1]]:
             return p(g[1:])
-        return (max(0.0, grams[g] - cut) + cut * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]]
+        return (max(0.0, grams[g] - off(grams[g])) + mass[g[:-1]] * p(g[1:])) / total[g[:-1]]
 
     return {d: [math.log10(p(tuple(x[max(0, i - order + 1) : i + 1]))) for i in range(1, len(x))] for d, x in tokens.items()}
 
@@ -105,3 +107,24 @@ def test_longer_contexts_count(spark):
             assert abs(got[d] - sum(each)) < 0.02 * len(each), (order, d, got[d], sum(each))
         if order != 2:
             assert got[1000] > got[1001] + 0.5  # a bigram model cannot tell which of c and d follows "x b"
+
+
+def test_null_ids_long_texts_and_probabilities_that_sum_to_one(spark):
+    a, b = "ab", "ba"
+    for _ in range(11):
+        a, b = a + b, b + a
+    long = " ".join(f"w{i % 401}" for i in range(300_000))  # beyond a chunk
+    texts = [f"{a} {b}", f"{b} {a}", long, None, "x y z x y x"]
+    docs = spark.createDataFrame([(None, t, k % 2 == 0) for k, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    rows = lm.score(docs).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 3, 3, 7, 300_001] and all(r.train_tokens == 300_011 for r in rows)
+    # p(w | x) over all words, the end and one unknown word sums to 1, up to the codes' steps
+    learned = ["x y", "x y", "x y", "x z", "x z", "y x", "x"]
+    words = ["x", "y", "z", "unseen"]
+    probe = [(k, t, True) for k, t in enumerate(learned)] + [(100 + k, f"x {w}", False) for k, w in enumerate(words)] + [(200 + k, w, False) for k, w in enumerate(words)] + [(300, "x", False)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(probe, "doc_id long, text string, train boolean"), order=2).collect()}
+    want = brute_scores({d: t for d, t, _ in probe}, set(range(len(learned))), 2, cut=None)
+    given_x = [sum(10 ** want[100 + k][1] for k in range(len(words))) + 10 ** want[300][1]]
+    assert abs(given_x[0] - 1) < 1e-9
+    for d, each in want.items():
+        assert abs(got[d].score - sum(each)) < 0.02 * len(each), d

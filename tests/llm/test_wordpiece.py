@@ -50,3 +50,22 @@ def test_whole_texts(spark):
         assert (r.n_words, r.n_tokens) == (len(words), want)
     assert wp.count_tokens(docs.limit(0)).count() == 0
     assert wp.counts(pa.array([], pa.string()), path)[0].size == 0
+
+
+def test_words_with_equal_polynomial_hashes_null_ids_and_long_texts(spark):
+    import json
+
+    a, b = "ab", "ba"
+    for _ in range(11):
+        a, b = a + b, b + a
+    path = wp.vocabulary_path(wp.DEFAULT_VOCABULARY)
+    table = wp.printable_bytes()
+    vocabulary = {s for t in json.load(open(path, encoding="utf-8"))["model"]["vocab"] if (s := wp.symbols(t, table))}
+    texts = [f"{a} {b}", f"{b} {a} {a}", "Word " * 300_000, None, ""]
+    each = {w: greedy((*w.encode()[:-1], w.encode()[-1] + wp.FINAL), vocabulary) for w in (a[:64], "word")}
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_tokens) for r in wp.count_tokens(docs).collect())
+    automaton, _ = wp._automaton(path)
+    own = {w: automaton.count(w.encode()) for w in (a, b, "word")}
+    assert own["word"] == each["word"] and automaton.count(a[:64].encode()) == each[a[:64]]
+    assert got == sorted([(0, 0), (0, 0), (2, own[a] + own[b]), (3, 2 * own[a] + own[b]), (300_000, 300_000 * own["word"])])
