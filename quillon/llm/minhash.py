@@ -234,7 +234,7 @@ def linked_classes(docs: DataFrame, text: str, key: str, width: int, percent: in
     discard(bitmap)
 
     sized = cell.join(known.select("cid", "n"), "cid")
-    tiles = sized.groupBy("pivot").agg(F.ceil(F.sum("n") / tile).cast("long").alias("tiles"))
+    tiles = stored(sized.groupBy("pivot").agg(F.ceil(F.sum("n") / tile).cast("long").alias("tiles")), "minhash-tiles")  # written first, so that a hot cell's rows can be split in the join
     dealt = stored(sized.join(tiles, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("tiles"))), "minhash-dealt")
     heads = tiles.select(F.col("pivot").alias("cid"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("salt"), F.lit(0).alias("role"))
     rest = dealt.filter("cid <> pivot").select("cid", "pivot", "salt", F.lit(1).alias("role"))
@@ -253,7 +253,7 @@ def linked_classes(docs: DataFrame, text: str, key: str, width: int, percent: in
         more = _across_tiles(texts.join(left.unionByName(right), "cid"), parts, width, percent)
         edges = stored(edges.union(more.filter("u <> v")), "minhash-all-edges")
         roots = components(edges, "minhash-all").withColumnRenamed("node", "cid")
-    discard(texts, cell, known, dealt)
+    discard(texts, cell, known, dealt, tiles)
     return sketch, roots
 
 
