@@ -279,10 +279,10 @@ def section_classes(spark, sf_dir):
     return rows.select("conv_id", "turn", jobs.archetype(F.col("name")).alias("archetype"), jobs.is_boilerplate(F.col("name")).alias("boilerplate"))
 
 
-@query("boilerplate_contains", "SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY b.item_id")
+@query("boilerplate_contains", "SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def boilerplate_contains(spark, sf_dir):
-    """Documents that hold each benchmark item's opening (60 characters), met by a word inside the opening and confirmed on the text."""
-    marks = _read(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("mark"))
+    """Documents that hold each whole benchmark item, met by a word inside the item and confirmed on the text."""
+    marks = _read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("mark"))
     hits = _holding(_read(spark, sf_dir, "documents").select("doc_id", "text"), marks)
     return stats.counts_with_zero(marks, "item_id", hits, "item_id").withColumnRenamed("n", "n_docs")
 
@@ -299,7 +299,7 @@ def _holding(docs: DataFrame, marks: DataFrame) -> DataFrame:
     keyed = marks.withColumn("w", longest)
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("w"))
     small = keyed.select("w").distinct()
-    met = words.join(F.broadcast(small), "w", "left_semi").join(keyed, "w").select("item_id", "doc_id", "text", "mark")
+    met = words.join(small, "w", "left_semi").join(keyed, "w").select("item_id", "doc_id", "text", "mark")
     others = docs.select("doc_id", "text").crossJoin(F.broadcast(keyed.filter("w is null").drop("w"))).select("item_id", "doc_id", "text", "mark")
     return met.unionByName(others).filter(F.contains("text", F.col("mark"))).select("item_id", "doc_id").distinct()
 

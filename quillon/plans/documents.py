@@ -25,7 +25,7 @@ def nfkc_normalise(spark, sf_dir):
 @query("porter_stems")
 def porter_stems(spark, sf_dir):
     tokens = Tokenizer(stopwords=(), stem=True)(F.col("text"))
-    return _read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(F.array_distinct(tokens)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n_docs"))
+    return _read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n_docs"))
 
 
 @query("line_diffs")
