@@ -103,6 +103,27 @@ def pattern_literal(pattern: str) -> str:
     return re.sub(r"\\(.)", r"\1", pattern)
 
 
+def strip_formatting(text: str, commands: tuple[str, ...] = WRAPPERS) -> str:
+    """Without the given commands, their arguments kept."""
+    for command in commands:
+        text = replace_command(text, command)
+    return text
+
+
+def remove_at_end(text: str, command: str) -> str:
+    r"""Without a \command{...} (or a bare \command) that the text ends with, white space aside."""
+    found = list(re.finditer(r"\\" + command + r"(?![A-Za-z])\s*", text))
+    if found:
+        last = found[-1]
+        try:
+            end = closing(text, last.end()) + 1 if text[last.end() : last.end() + 1] == "{" else last.end()
+        except ValueError:
+            return text
+        if not text[end:].strip():
+            return text[: last.start()].rstrip()
+    return text
+
+
 def to_plaintext(latex: str | None, strip_params: bool = True) -> str:
     r"""Text without markup, by ordered rewriting.
 

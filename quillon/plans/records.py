@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import latex
 from ..functions import text as T
 from ..functions.tokens import CorpusStore, Tokenizer
-from ..operators import compare, conversion, documents, items, jobs, layout, records, stats
+from ..operators import compare, conversion, documents, events, items, jobs, layout, records, reports, stats
 from ..operators.extraction import infer_section_type, log_messages
 from ..session import spread
 from .catalog import query
@@ -494,3 +494,46 @@ def document_types(spark, sf_dir):
     parsed = _tex(spark, sf_dir).select("conv_id", conversion.read_column("tex").alias("j"))
     kinds = F.from_json(F.get_json_object("j", "$.document.pages[0].regions.main_column.sections"), "array<struct<type:string,metadata:struct<name:string>>>")
     return parsed.select("conv_id", F.posexplode(kinds).alias("place", "s")).select("conv_id", F.col("place").cast("long").alias("place"), "s.metadata.name", F.col("s.type").alias("kind"))
+
+
+@query("report_counts", "SELECT place, rtrim(rpad(name, 12, ' ') || ' ' || lpad(CAST(n AS VARCHAR), 8, ' ') || ' ' || lpad(printf('%.1f%%', round(n * 100.0 / total, 1)), 8, ' ')) AS line FROM (SELECT CASE WHEN length(p_type) > 12 THEN left(p_type, 9) || '...' ELSE p_type END AS name, count(*) AS n, sum(count(*)) OVER () AS total, row_number() OVER (ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY p_type) WHERE place <= 5")
+def report_counts(spark, sf_dir):
+    return reports.count_lines(stats.distribution(_read(spark, sf_dir, "part"), "p_type"), "p_type", "n", 5, 12)
+
+
+@query("report_partners", "SELECT a.p_brand AS name_a, row_number() OVER (PARTITION BY a.p_brand ORDER BY count(*) DESC, b.p_type) AS place, '  ' || rpad(CASE WHEN length(b.p_type) > 20 THEN left(b.p_type, 17) || '...' ELSE b.p_type END, 20, ' ') || ' ' || lpad(CAST(count(*) AS VARCHAR), 8, ' ') AS line FROM part a JOIN part b ON a.p_partkey = b.p_partkey GROUP BY a.p_brand, b.p_type")
+def report_partners(spark, sf_dir):
+    from pyspark.sql import Window
+
+    pairs = _read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name_a"), F.col("p_type").alias("name_b")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("name_a").orderBy(F.desc("n"), "name_b"))
+    return reports.partner_lines(pairs.withColumn("place", place), 20)
+
+
+@query("report_timeline", "SELECT o_custkey, row_number() OVER w - 1 AS place, strftime(o_orderdate, '%Y-%m-%d') || '  ' || coalesce(lag(o_orderstatus) OVER w, '(none)') || ' -> ' || o_orderstatus AS line FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def report_timeline(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("timestamp"), F.col("o_orderstatus").alias("state"))
+    return reports.timeline_lines(events.timeline(rows, "o_custkey", "o_orderkey", "state"), "o_custkey")
+
+
+@query("report_layout", "SELECT n_nationkey AS doc, place, line FROM nation, (VALUES (1, '1. E is missing'), (2, '2. G is missing'), (3, '3. C runs over to page 3')) v(place, line)")
+def report_layout(spark, sf_dir):
+    return reports.layout_feedback(_diagnosed(spark, sf_dir))
+
+
+@query("report_tree", _expected([(0, 0, "Top (5)"), (0, 2, "  One (7)"), (0, 5, "  Metadata (4)"), (0, 7, "Two (0)"), (0, 9, "  One (4)")], "node_id, line", 1))
+def report_tree(spark, sf_dir):
+    return reports.tree_lines(documents.markdown_tree(_dealt(spark, sf_dir, [(_MARKDOWN[0],)], "t"), "p_partkey", "t"), "p_partkey")
+
+
+@query("report_checklist", _expected([(0, ["[x] Company: Acme", "[x] Role: ML Engineer", "[x] Salary: $100,000 - $120,000 per year"]), (1, ["[x] Company: Big Co", "[ ] Role", "[ ] Salary"]), (2, ["[ ] Company", "[ ] Role", "[ ] Salary"])], "lines", 3))
+def report_checklist(spark, sf_dir):
+    posts = [r[:2] for r in _POSTS]
+    posts[1] = (posts[1][0].replace("**Title:** Analyst", "text"), posts[1][1])
+    rows = _dealt(spark, sf_dir, posts, "t", "f")
+    return rows.select("p_partkey", reports.checklist(jobs.metadata(F.col("t"), F.col("f")), ("Company", "Role", "Salary")).alias("lines"))
+
+
+@query("list_by_type", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def list_by_type(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey")

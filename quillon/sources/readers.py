@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.records import shown
+
 REGISTRY_SCHEMA = "resume_name string, resume_type string, status string, last_updated string"
 #: Columns of the job registry.
 JOB_REGISTRY_COLUMNS = ("Job Identifier", "Company", "Role", "Location", "Salary", "Work Mode", "Job ID", "Source", "URL", "Clearance", "List Date")
@@ -44,6 +47,32 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("name", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
 
 
+def interpolated(data, root=None):
+    """Nested data with each ${dotted.path} replaced by what stands there; a text that is one reference alone keeps the value's kind. KeyError where there is nothing."""
+    root = data if root is None else root
+
+    def value(path: str):
+        out = root
+        for step in path.split("."):
+            out = out[int(step)] if isinstance(out, list) else out[step]
+        return interpolated(out, root)
+
+    if isinstance(data, dict):
+        return {k: interpolated(v, root) for k, v in data.items()}
+    if isinstance(data, list):
+        return [interpolated(v, root) for v in data]
+    if isinstance(data, str) and "${" in data:
+        whole = re.fullmatch(r"\$\{([^${}]+)\}", data)
+        return value(whole[1]) if whole else re.sub(r"\$\{([^${}]+)\}", lambda m: str(value(m[1])), data)
+    return data
+
+
+def error_summary(documents: DataFrame, limit: int = 10) -> DataFrame:
+    """n_errors, messages: the first errors of a tolerant read by path, and how many more there are."""
+    told = F.transform(F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("path", "error")))), lambda e: F.concat_ws(": ", e["path"], e["error"]))
+    return documents.agg(told.alias("_m")).select(F.size("_m").alias("n_errors"), shown(F.col("_m"), limit).alias("messages"))
+
+
 def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, name, json, error: YAML files as JSON text; a file that fails keeps its error instead of ending the read."""
 
@@ -54,10 +83,10 @@ def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for p, n, t in zip(pdf["path"], pdf["name"], pdf["text"], strict=True):
                 try:
-                    data = yaml.safe_load(t)
+                    data = interpolated(yaml.safe_load(t))
                     bad = None if isinstance(data, dict) and "document" in data else "no document"
                     out.append((p, n, None if bad else json.dumps(data, default=str), bad))
-                except yaml.YAMLError as e:
+                except (yaml.YAMLError, KeyError, IndexError, TypeError, ValueError, RecursionError) as e:
                     out.append((p, n, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "name", "json", "error"])
 

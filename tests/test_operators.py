@@ -196,6 +196,10 @@ def test_registry_files_and_texts(spark, tmp_path):
     assert [readers.find_text(found, n).first().text for n in ("job", "JOB", "other")] == ["job.md", "Job.md", "Other.md"] and readers.find_text(found, "none").count() == 0
     out = readers.write_yaml(spark.createDataFrame([('{"b": [1, "é"], "a": null}',), (None,)], "j string"), "j").collect()
     assert out[0].yaml == "b:\n- 1\n- é\na: null\n" and out[1].yaml is None
+    assert latex.strip_formatting(r"\textbf{a \emph{b}} c") == "a b c" and latex.remove_at_end("x \\par \\vspace{3pt}\n", "vspace") == "x \\par" and latex.remove_at_end("x \\vspace{3pt} y", "vspace") == "x \\vspace{3pt} y"
+    assert readers.interpolated({"a": {"b": 3}, "c": "${a.b}", "d": "n ${c}!", "e": ["${e.1}", 7]}) == {"a": {"b": 3}, "c": 3, "d": "n 3!", "e": [7, 7]}
+    bad = spark.createDataFrame([(str(k), "e") for k in range(4)] + [("x", None)], "path string, error string")
+    assert tuple(readers.error_summary(bad, 2).first()) == (4, ["0: e", "1: e", "... and 2 more"])
     assert compare.document_diff({"a": 1, "b": [1, 2]}, {"b": [1, 3], "a": 1})[1] == 2 and latex.pattern_literal(r"\\begin\{paracol\}\{2\}") == r"\begin{paracol}{2}"
 
 
