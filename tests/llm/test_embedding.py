@@ -92,3 +92,9 @@ def test_crowded_cell_is_cut_into_parts(spark):
             break
         root = new
     assert [got[k].component_id for k in range(len(x))] == root.tolist()
+
+
+def test_null_ids_and_ties(spark):
+    rows = [(None, 1, [1.0, 0.0, 0.0]), (4, 1, [2.0, 0.0, 0.0]), (None, 1, [0.0, 1.0, 0.0]), (5, 1, [0.0, 0.0, 1.0]), (5, 1, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+    assert got == [(0, 0, 0), (0, 1, 4), (4, 1, 4), (5, 1, 5), (5, 1, 5)]

@@ -127,3 +127,16 @@ def test_importance_edges(spark):
     assert len(got) == 5 and all(r.selected for r in got if r.doc_id) and all(r.log_weight == 0 for r in got if r.doc_id in (1, 2))
     assert qs.resample(docs.limit(0), np.zeros(qs._SIZE), 1.0).count() == 0
     assert qs.share(spark.createDataFrame([], "quality int")) == 1.0
+
+
+def test_texts_beyond_a_chunk(spark):
+    long = "you idiot " * 150_000
+    docs = spark.createDataFrame([(1, long), (2, "a kind word"), (3, "you idiot"), (None, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 0), (3, 1)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+    score = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer(model)("text").alias("s")).collect()}
+    assert score[1] == score[None] > 0.5 > score[2]
+    ratio = np.linspace(-1e-3, 1e-3, qs._SIZE)
+    rows = {r.doc_id: r.log_weight for r in qs.resample(docs, ratio, 1.0).collect()}
+    buf, offsets = flat(pa.array([long]))
+    assert abs(rows[1] - ratio[qs.buckets(buf, offsets)[1]].sum()) < 1e-6 and rows[None] == rows[1]
