@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fixed
+
 #: One row a section; sections are polymorphic, so the parts that a type lacks are null.
 SECTION_SCHEMA = """resume_name string, resume_ord long, path string, section_ord long, section_name string, section_type string,
  items array<string>, subsections array<struct<type:string,name:string,company:string,title:string,dates:string,items:array<string>,
@@ -56,9 +58,10 @@ def numbered(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """`rows` with consecutive ids from 1 by `order`, without a single-partition window.
 
     Rows are range-partitioned and sorted; each partition's row count, one row
-    a partition, gives the offsets.
+    a partition, gives the offsets. The partitioning, which hangs on a sample,
+    is written first, so that a partition computed again has the same rows.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()}).persist()
+    dealt = fixed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()}))
     counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
     offsets, total = [], 0
     for part, n in counts:

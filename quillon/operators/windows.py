@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +26,26 @@ def islands(lines: DataFrame, doc: str, order: str, is_header: Column) -> DataFr
 
 
 def anchored_clusters(values: Column, tolerance: float) -> Column:
-    """Cluster number of each element of a sorted array: a new cluster starts where a value is beyond `tolerance` of its cluster's first."""
-    empty = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, v: Column) -> Column:
-        new = s["anchor"].isNull() | (F.abs(v - s["anchor"]) > tolerance)
-        n = s["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, v).otherwise(s["anchor"]).alias("anchor"), n.alias("n"), F.concat(s["out"], F.array(n)).alias("out"))
-
-    return F.aggregate(values, empty, step, lambda s: s["out"])
+    """Cluster number of each element of a sorted array: a new cluster starts where a value is beyond `tolerance` of its cluster's first.
+
+    One pass an array in Arrow batches: a built-in fold would copy what it has gathered at every element.
+    """
+
+    @F.pandas_udf("array<int>")
+    def numbers(arrays: pd.Series) -> pd.Series:
+        def one(own) -> list[int] | None:
+            if own is None:
+                return None
+            out, anchor, n = [], None, -1
+            for v in own:
+                if anchor is None or abs(v - anchor) > tolerance:
+                    anchor, n = v, n + 1
+                out.append(n)
+            return out
+
+        return arrays.map(one)
+
+    return numbers(values)
 
 
 def heading_parents(headings: DataFrame, doc: str, order: str, level: str, deepest: int = 6) -> DataFrame:
