@@ -42,15 +42,22 @@ def _read(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
     return (low | high) & U((1 << width) - 1)
 
 
+#: Position of the k-th set bit of each byte.
+_IN_BYTE = np.zeros((256, 8), np.uint64)
+for _byte in range(256):
+    _set = [k for k in range(8) if _byte >> k & 1]
+    _IN_BYTE[_byte, : len(_set)] = _set
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th (from 0) set bit of each word."""
     at, k = np.zeros(len(word), np.uint64), k.astype(np.int64).copy()
-    for size in (32, 16, 8, 4, 2, 1):
+    for size in (32, 16, 8):
         low = np.bitwise_count((word >> at) & U((1 << size) - 1)).astype(np.int64)
         go = k >= low
         k -= np.where(go, low, 0)
         at += np.where(go, U(size), U(0))
-    return at.astype(np.int64)
+    return (at + _IN_BYTE[((word >> at) & U(255)).astype(np.int64), np.clip(k, 0, 7)]).astype(np.int64)
 
 
 class EliasFano:

@@ -258,12 +258,14 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _summed(parents: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (parent, successor) with a count, in order, and their counts over all blocks."""
-    order = np.flatnonzero(counts > 0)
-    order = order[np.lexsort((successors[order], parents[order]))]
-    c, s, n = parents[order], successors[order], counts[order]
-    at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))[: len(c)])
-    return c[at], s[at], np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
+    """Distinct (parent, successor) with a count, in order, and their counts over all blocks (whose rows come sorted)."""
+    own = np.flatnonzero(counts > 0)
+    key = parents[own].astype(np.uint64) << np.uint64(8 * SUCCESSOR_BYTES) | successors[own]
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], counts[own][order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    key = key[at]
+    return (key >> np.uint64(8 * SUCCESSOR_BYTES)).astype(np.int64), key & np.uint64((1 << 8 * SUCCESSOR_BYTES) - 1), np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
 
 
 def answer(rows: list[dict], hot: dict[int, int], discounts: tuple[float, ...] = DISCOUNTS) -> tuple[list[tuple], tuple[int, int], list[tuple[int, float]]]:
@@ -275,11 +277,14 @@ def answer(rows: list[dict], hot: dict[int, int], discounts: tuple[float, ...] =
         sizes = [int(x.sum()) for x in spans]
         successors = np.concatenate([_numbers(r["successors"][k], SUCCESSOR_BYTES) for r in rows])
         counts = np.concatenate([_unplaned(r["grams"][k], 4) for r in rows]).astype(np.int64)
-        heads = np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]) if k == 0 else asked  # what has a range here
+        if k == 0:  # what has a range here: contexts by the rank of their hash, then the n-grams of the level above
+            hashes, heads = np.unique(np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]), return_inverse=True)
+        else:
+            heads = asked
         c, s, count = _summed(np.repeat(heads, np.concatenate(spans)), successors, counts)
         if k == 0:
-            distinct, bounds = np.unique(c, return_index=True)
-            bounds = np.append(bounds, len(c))
+            seen, bounds = np.unique(c, return_index=True)
+            distinct, bounds = hashes[seen], np.append(bounds, len(c))
         else:
             bounds = np.searchsorted(c, np.arange(len(trie.codes) + 1))
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -294,8 +299,9 @@ def answer(rows: list[dict], hot: dict[int, int], discounts: tuple[float, ...] =
         codes = quantise((count - cut) / np.maximum(total[owner], 1))
         trie = TrieShard.build(distinct if k == 0 else np.zeros(0, np.uint64), bounds, s, codes)
         if k == 0:
-            at = np.minimum(np.searchsorted(distinct, heads), max(0, len(distinct) - 1))
-            index = np.where(distinct[at] == heads, at, -1) if len(distinct) else np.full(len(heads), -1)
+            place = np.full(len(hashes), -1)
+            place[seen] = np.arange(len(seen))
+            index = place[heads]
         else:
             index = asked
         asked = trie.child(np.repeat(index, np.concatenate(spans)), successors)
