@@ -218,7 +218,7 @@ def token_bigrams(spark, sf_dir):
 @query("phrase_normalise", "SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])(?i:of the)($|[^\\p{L}\\p{N}_])', '\\1of_the\\2', 'g'), '(^|[^\\p{L}\\p{N}_])(?i:und die)($|[^\\p{L}\\p{N}_])', '\\1und_die\\2', 'g') AS text FROM documents")
 def phrase_normalise(spark, sf_dir):
     tokenizer = Tokenizer(stopwords=(), phrases={"of the": "of_the", "und die": "und_die"})
-    return _read(spark, sf_dir, "documents").select("doc_id", tokenizer.normalised(F.col("text")).alias("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", tokenizer.normalised(F.col("text"), apart=True).alias("text"))
 
 
 _ESC = "text"

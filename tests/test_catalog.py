@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.plans import catalog, corpus, documents, logs, records  # noqa: F401
 
@@ -55,3 +56,18 @@ def test_boilerplate_contains_marks_that_begin_inside_a_word(spark, tmp_path):
         for t in ("benchmark", "documents"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
         assert got == sorted(db.execute(catalog.ORACLES["boilerplate_contains"]).fetchall())
+
+
+def test_phrase_normalise_shared_separators_and_letters_beyond_the_bmp(spark, tmp_path):
+    from quillon.functions.tokens import Tokenizer
+
+    texts = ["x of the of the y", "of the of the of the", "of the  of the", "Und Die und die OF THE", "of the und die", "of the\n", "\nof the\r\n", "𝒳of the, of the𝒳", "und d\u0131e und d\u0130e", "\u0301of the\u0301", "$of the\\", None, ""]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "of the of the")], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((repr(tuple(r)) for r in catalog.QUERIES["phrase_normalise"](spark, str(tmp_path)).select("doc_id", "text").collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == sorted(map(repr, db.execute(catalog.ORACLES["phrase_normalise"]).fetchall()))
+    tokenizer = Tokenizer(stopwords=(), phrases={"of the": "$1", "in it": "2i"})
+    both = rows.select(*[tokenizer.normalised(F.lit("of the of the In It 𝒳of the"), apart=x).alias(f"a{x}") for x in (False, True)]).first()
+    assert both == ("$1 $1 2i 𝒳of the", "$1 of the 2i 𝒳of the")
